@@ -13,7 +13,7 @@ from pyspark.sql import Column, functions as F
 
 from pagemill.functions.dom import at
 from pagemill.functions.text import is_blank, let, rstrip, strip
-from pagemill.functions.urls import resolve
+from pagemill.functions.urls import is_malformed, resolve
 
 # Tags whose inner edges swallow blanks.
 TIGHT = (
@@ -28,39 +28,48 @@ SPACE = " \t\r\n"
 SEAM = "\uffff"
 
 
-def link_target(href: Column, base: Column, absolute: tuple[str, ...]) -> Column:
-    """Links of these schemes stay as written; everything else is resolved."""
-    as_is = F.lit(False)
-    for prefix in absolute:
-        as_is = as_is | F.startswith(href, F.lit(prefix))
-    return F.when(as_is, href).otherwise(resolve(base, href))
+def attr(node: Column, name: str) -> Column:
+    return F.coalesce(node["attrs"][name], F.lit(""))
 
 
-def a_target(node: Column, base: Column) -> Column:
-    return link_target(node["attrs"]["href"], base, ("http://", "https://", "mailto:", "#"))
+def is_absolute(node: Column) -> Column:
+    """Targets of these schemes stay as written."""
+    href, src = node["attrs"]["href"], node["attrs"]["src"]
+    return F.when(node["tag"] == "a", href.rlike("^(http://|https://|mailto:|#)")).otherwise(
+        src.rlike("^(http://|https://|data:)")
+    )
 
 
-def img_target(node: Column, base: Column) -> Column:
-    return link_target(node["attrs"]["src"], base, ("http://", "https://", "data:"))
+def reference(node: Column) -> Column:
+    """href of a link, src of an image; NULL for other nodes."""
+    attrs = node["attrs"]
+    return F.when(node["tag"] == "a", attrs["href"]).when(node["tag"] == "img", attrs["src"])
 
 
-def attr(node: Column, name: str) -> Column:
-    return F.coalesce(node["attrs"][name], F.lit(""))
+def link_target(node: Column, base: Column) -> Column:
+    """Where a link or image leads, as it is written into the markdown."""
+    return F.when(is_absolute(node), reference(node)).when(
+        reference(node) != "", resolve(base, reference(node))
+    )
+
+
+def is_bad_image(node: Column) -> Column:
+    bad = (node["tag"] == "img") & ~is_absolute(node) & is_malformed(node["attrs"]["src"])
+    return F.coalesce(bad, F.lit(False))
 
 
-def a_markdown(node: Column, text: Column, base: Column) -> Column:
+def a_markdown(node: Column, text: Column) -> Column:
     text = strip(text)
-    title = attr(node, "title")
-    plain = F.concat(F.lit("["), text, F.lit("]("), a_target(node, base))
+    plain = F.concat(F.lit("["), text, F.lit("]("), node["target"])
     return F.when((text == "") | (attr(node, "href") == ""), text).otherwise(
-        F.concat(plain, _quoted(title), F.lit(")"))
+        F.concat(plain, _quoted(attr(node, "title")), F.lit(")"))
     )
 
 
-def img_markdown(node: Column, base: Column) -> Column:
+def img_markdown(node: Column) -> Column:
     return F.when(attr(node, "src") == "", F.lit("")).otherwise(
         F.concat(
-            F.lit("!["), attr(node, "alt"), F.lit("]("), img_target(node, base),
+            F.lit("!["), attr(node, "alt"), F.lit("]("), node["target"],
             _quoted(attr(node, "title")), F.lit(")"),
         )
     )
@@ -78,7 +87,7 @@ def code_language(pre: Column) -> Column:
     return F.coalesce(F.replace(first, F.lit("language-"), F.lit("")), F.lit(""))
 
 
-def local_tree(nodes: Column, kept: Column, root: Column) -> Column:
+def local_tree(nodes: Column, kept: Column, root: Column, base: Column) -> Column:
     """The kept subtree of ``root``: positions start at 0, children listed per element."""
     span = F.slice(nodes, root["node_id"] + 1, root["end_id"] - root["node_id"] + 1)
 
@@ -108,6 +117,7 @@ def local_tree(nodes: Column, kept: Column, root: Column) -> Column:
                 node["classes"].alias("classes"),
                 node["attrs"].alias("attrs"),
                 node["text"].alias("text"),
+                F.when(element, link_target(node, base)).alias("target"),
                 ids(children).alias("kids"),
                 F.array_min(
                     ids(F.filter(children, lambda c: c["kind"] == "element"))
@@ -266,7 +276,7 @@ def _tr(node: Column, text: Column, tree: Column) -> Column:
     )
 
 
-def _apply_tag(node: Column, text: Column, tree: Column, base: Column) -> Column:
+def _apply_tag(node: Column, text: Column, tree: Column) -> Column:
     tag, lit, core = node["tag"], F.lit, strip(text)
     in_line = lambda t: F.concat(lit(" "), t, lit(" "))
     block = lambda t: let(
@@ -285,8 +295,8 @@ def _apply_tag(node: Column, text: Column, tree: Column, base: Column) -> Column
         .when(tag.isin("del", "s"), _spaced_mark(text, "~~", node))
         .when(tag.isin("sub", "sup"), _spaced_mark(text, "", node))
         .when(tag.isin("code", "kbd", "samp"), _spaced_mark(text, "`", node))
-        .when(tag == "a", a_markdown(node, text, base))
-        .when(tag == "img", img_markdown(node, base))
+        .when(tag == "a", a_markdown(node, text))
+        .when(tag == "img", img_markdown(node))
         .when(tag == "br", F.when(node["in_line"], lit(" ")).otherwise(lit("  \n")))
         .when(tag == "hr", lit("\n\n---\n\n"))
         .when(tag == "p", block(F.btrim(text, lit(SPACE))))
@@ -368,7 +378,7 @@ def render(nodes: Column, kept: Column, root: Column, base: Column) -> Column:
                 F.transform(node["kids"], lambda kid, place: piece(done, node, kid, place)),
                 lambda s: s != "",
             )
-            return let(_join(pieces, node), lambda text: _apply_tag(node, text, tree, base))
+            return let(_join(pieces, node), lambda text: _apply_tag(node, text, tree))
 
         def level(done, depth):
             return F.transform(
@@ -381,4 +391,4 @@ def render(nodes: Column, kept: Column, root: Column, base: Column) -> Column:
         blank = F.transform(tree, lambda _: F.lit(""))
         return at(F.aggregate(F.sequence(deepest, F.lit(0), F.lit(-1)), blank, level), F.lit(0))
 
-    return let(local_tree(nodes, kept, root), fold)
+    return let(local_tree(nodes, kept, root, base), fold)

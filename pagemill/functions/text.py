@@ -12,9 +12,8 @@ BLANKS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The same as regex classes: any blank, and any blank but the line end.
+# The same as a regex class.
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-IN_LINE = BLANK.replace(r"\t-\r", r"\t\x0b-\r")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,8 +41,7 @@ def is_blank(text: Column) -> Column:
 def tidy_markdown(md: Column) -> Column:
     """Seven clean-up steps; their order decides the result."""
     md = F.regexp_replace(md, r"\n\n\n+", "\n\n")
-    line_ends = rf"{IN_LINE}(?<!{IN_LINE}{IN_LINE}){IN_LINE}*+(?=\n|\z)"
-    md = F.regexp_replace(md, line_ends, "")
+    md = F.array_join(F.transform(F.split(md, "\n"), rstrip), "\n")
     md = F.regexp_replace(md, rf"\[([^\]]*)\]\({BLANK}*\)", "$1")
     md = F.regexp_replace(md, rf"(?dm)^{BLANK}*-{BLANK}*$", "")
     md = F.regexp_replace(md, r"  +", " ")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pagemill.functions import urls
+from pagemill.functions.text import let
 from pagemill.options import CorpusOptions
 from pagemill.plans.convert import anchors, link_urls
 from pagemill.session import checkpointed
@@ -17,9 +18,17 @@ MAX_BROADCAST_KEYS = 1_000_000
 def raw_links(pages: DataFrame, base: str = "url") -> DataFrame:
     """``(page_id, url, place, href, target)`` for every usable anchor, NULL target if malformed."""
     shredded = shred(pages.select("page_id", F.col(base).alias("url"), "html"))
-    return shredded.select(
-        "page_id", "url", F.posexplode(anchors(F.col("nodes"))).alias("place", "href")
-    ).withColumn("target", urls.normalize_url(urls.resolve(F.col("url"), F.col("href"))))
+    # Targets are made inside the array: behind the explode they are plain columns.
+    found = F.transform(
+        anchors(F.col("nodes")),
+        lambda h: F.struct(
+            h.alias("href"),
+            let(urls.resolve(F.col("url"), h), urls.normalize_url).alias("target"),
+        ),
+    )
+    return shredded.select("page_id", "url", F.posexplode(found).alias("place", "link")).select(
+        "page_id", "url", "place", "link.href", "link.target"
+    )
 
 
 def page_links(pages: DataFrame, options: CorpusOptions, base: str = "url") -> DataFrame:

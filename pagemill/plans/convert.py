@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagemill.functions import dom, gate, markdown, urls
 from pagemill.functions.domains import SuffixRules, domain_of_host, host_name
-from pagemill.functions.text import is_blank, let, prefix_title, tidy_markdown
+from pagemill.functions.text import let, prefix_title, tidy_markdown
 from pagemill.options import CorpusOptions
 from pagemill.sources.html import shred
 
 NO_CONTENT = "*No content extracted*"
 
 
-def page_markdown(nodes: Column, base: Column, options: CorpusOptions) -> Column:
-    """struct(markdown, bad_link) of one page."""
+def page_markdown(options: CorpusOptions, nodes: str = "nodes", base: str = "url") -> Column:
+    """struct(markdown, bad_link) of one page, from the columns of these names.
+
+    The expression is large and built through many small calls to the JVM, so
+    it is built once per application and reused.
+    """
+    return _page_markdown(SparkContext.getOrCreate().applicationId, options, nodes, base)
+
+
+@lru_cache(maxsize=64)
+def _page_markdown(application: str, options: CorpusOptions, nodes_name: str, base_name: str) -> Column:
+    nodes, base = F.col(nodes_name), F.col(base_name)
 
     def converted(title, kept, root):
         body = tidy_markdown(markdown.render(nodes, kept, root, base))
         missing = F.concat(F.lit("# "), title, F.lit("\n\n" + NO_CONTENT))
-        images = F.filter(
-            dom.subtree(nodes, root),
-            lambda n: (n["tag"] == "img") & dom.at(kept, n["node_id"]),
-        )
         bad = F.exists(
-            images,
-            lambda n: (markdown.attr(n, "src") != "") & markdown.img_target(n, base).isNull(),
+            dom.subtree(nodes, root),
+            lambda n: dom.at(kept, n["node_id"]) & markdown.is_bad_image(n),
         )
         return F.struct(
             F.when(root.isNull(), missing)
@@ -78,12 +87,11 @@ def to_markdown(
     """Replace ``html`` by ``title`` and ``markdown``; works on streams as well."""
     options = options or CorpusOptions()
     shredded = shred(pages, html)
-    nodes = F.col("nodes")
     others = [c for c in shredded.columns if c != "nodes"]
     return shredded.select(
         *others,
-        dom.page_title(nodes).alias("title"),
-        page_markdown(nodes, F.col(url), options)["markdown"].alias("markdown"),
+        dom.page_title(F.col("nodes")).alias("title"),
+        page_markdown(options, base=url)["markdown"].alias("markdown"),
     )
 
 
@@ -106,7 +114,7 @@ def page_facts(
             ),
         ),
     )
-    done = page_markdown(nodes, base, options)
+    done = page_markdown(options)
     return shredded.select(
         "url", links.alias("links"), has_bad_anchor(nodes).alias("bad_anchor"), done.alias("done")
     ).select(

@@ -14,7 +14,7 @@ from pagemill.options import CorpusOptions
 from pagemill.plans import derived
 from pagemill.plans.convert import has_bad_anchor, link_urls, page_markdown, to_markdown
 from pagemill.plans.corpus import build_corpus
-from pagemill.session import work_folder
+from pagemill.session import spread, work_folder
 from pagemill.sources import fetchlog, sinks
 from pagemill.sources.html import node_rows, shred
 from pagemill.streaming import arrivals, runs
@@ -51,13 +51,18 @@ def stored_pages(spark, folder) -> DataFrame:
     return derived.table(spark, folder, "pages")
 
 
+def spread_pages(spark, folder) -> DataFrame:
+    """The pages, for queries that parse them."""
+    return spread(stored_pages(spark, folder))
+
+
 def host(url: str = "url") -> Column:
     return urls.netloc(urls.clean_url(F.col(url)))
 
 
 def keyed_markdown(spark, folder) -> DataFrame:
     """(site, url, markdown) with one page per key, the usual input of the sinks."""
-    keyed = stored_pages(spark, folder).select(
+    keyed = spread_pages(spark, folder).select(
         "page_id", urls.normalize_url(F.col("url")).alias("url"), "html"
     )
     return to_markdown(links.one_page_per_url(keyed)).select(
@@ -278,7 +283,7 @@ def url_label(spark, folder):
 # ---- links and frontier ---------------------------------------------------------
 
 def keyed_pages(spark, folder) -> DataFrame:
-    return stored_pages(spark, folder).withColumn("url", urls.normalize_url(F.col("url")))
+    return spread_pages(spark, folder).withColumn("url", urls.normalize_url(F.col("url")))
 
 
 @query
@@ -336,7 +341,7 @@ def page_status(spark, folder):
     pages = derived.derive(spark, folder, derived.GRAPH_PAGES).filter("page_id % 5 <> 3")
     shredded = shred(pages.select("url", "html"))
     outcomes = shredded.select(
-        "url", page_markdown(nodes(), F.col("url"), DEFAULT)["markdown"].alias("markdown"),
+        "url", page_markdown(DEFAULT)["markdown"].alias("markdown"),
         F.size(link_urls(nodes(), F.col("url"), DEFAULT)).alias("n_links"),
         has_bad_anchor(nodes()).alias("bad_link"),
     )
@@ -369,7 +374,7 @@ def recent_activity(spark, folder):
 
 @query
 def dom_nodes(spark, folder):
-    return node_rows(shred(stored_pages(spark, folder))).filter("kind = 'element'").groupBy(
+    return node_rows(shred(spread_pages(spark, folder))).filter("kind = 'element'").groupBy(
         "page_id", "tag"
     ).agg(F.count("*").alias("n"))
 
@@ -377,7 +382,7 @@ def dom_nodes(spark, folder):
 @query
 def boilerplate_nodes(spark, folder):
     hits = lambda n: dom.matches_any(n, DEFAULT.boilerplate)
-    return shred(stored_pages(spark, folder)).select(
+    return shred(spread_pages(spark, folder)).select(
         "page_id", F.explode(F.filter(nodes(), hits)).alias("n")
     ).groupBy("page_id", F.col("n.tag").alias("tag")).agg(F.count("*").alias("n"))
 
@@ -392,12 +397,12 @@ def clean_nodes(spark, folder):
         F.size(kept).alias("n_texts"),
         F.aggregate(kept, F.lit(0), lambda n, x: n + F.length(x["text"])).alias("n_chars"),
     ))
-    return shred(stored_pages(spark, folder)).select("page_id", counted.alias("c")).select("page_id", "c.*")
+    return shred(spread_pages(spark, folder)).select("page_id", counted.alias("c")).select("page_id", "c.*")
 
 
 @query
 def page_title(spark, folder):
-    return shred(stored_pages(spark, folder)).select("page_id", dom.page_title(nodes()).alias("title"))
+    return shred(spread_pages(spark, folder)).select("page_id", dom.page_title(nodes()).alias("title"))
 
 
 @query
@@ -411,13 +416,13 @@ def main_content(spark, folder):
         )
 
     pick = text.let(dom.kept_flags(nodes(), DEFAULT.boilerplate), chosen)
-    return shred(stored_pages(spark, folder)).select("page_id", pick.alias("c")).select("page_id", "c.*")
+    return shred(spread_pages(spark, folder)).select("page_id", pick.alias("c")).select("page_id", "c.*")
 
 
 @query
 def empty_pages(spark, folder):
     """Every third page has its whole body inside a form, so nothing is left."""
-    pages = stored_pages(spark, folder).withColumn(
+    pages = spread_pages(spark, folder).withColumn(
         "html",
         F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("<body>"), F.lit("<body><form>")))
         .otherwise(F.col("html")),
@@ -434,13 +439,13 @@ def render_markdown(spark, folder):
         return text.let(root, lambda r: markdown.render(nodes(), kept, r, F.col("url")))
 
     raw = text.let(dom.kept_flags(nodes(), DEFAULT.boilerplate), rendered)
-    return shred(stored_pages(spark, folder)).select("page_id", raw.alias("markdown"))
+    return shred(spread_pages(spark, folder)).select("page_id", raw.alias("markdown"))
 
 
 def with_fragment(spark, folder, *pieces) -> DataFrame:
     """Pages with an HTML fragment set behind the first heading, rendered."""
     extra = F.concat(F.lit("</h1>"), *[F.lit(p) if isinstance(p, str) else p for p in pieces])
-    pages = stored_pages(spark, folder).withColumn("html", F.replace("html", F.lit("</h1>"), extra))
+    pages = spread_pages(spark, folder).withColumn("html", F.replace("html", F.lit("</h1>"), extra))
     return to_markdown(pages).select("page_id", "markdown")
 
 
@@ -506,7 +511,7 @@ def reported_title(spark, folder):
 
 @query
 def pages_to_markdown(spark, folder):
-    return to_markdown(stored_pages(spark, folder))
+    return to_markdown(spread_pages(spark, folder))
 
 
 # ---- whole run and streams ------------------------------------------------------------

@@ -22,6 +22,17 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every task slot on a small input.
+
+    A table of fewer scan partitions than slots is at most slots x split size,
+    so moving it costs little against parsing it on a few slots. Larger inputs
+    are left as they are scanned.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def stored(df: DataFrame, purpose: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
