@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagemill.functions.gate import in_scope
 from pagemill.options import CorpusOptions
-from pagemill.session import checkpointed
+from pagemill.session import Buckets
 
 # So many level tables are tested one by one before they are packed into one.
 LEVELS_PER_PACK = 8
@@ -25,51 +25,47 @@ def breadth_first(
     array<struct<url, domain, subdomain>>. With ``scoped=False`` (or include
     patterns) links are not tested against the site's domain.
 
-    One job per level. The link table is partitioned by url once and seen URLs
-    by (site, url); per level only the new frontier and its links are shuffled.
-    Popular link targets shrink in the partial aggregation before that shuffle.
+    Per level one job writes the new frontier. The link table is bucketed by
+    url once and every frontier by (site, url), so a level shuffles the last
+    frontier and its links but never the link table or the URLs seen so far.
+    Popular link targets shrink in the partial aggregation before the shuffle.
     """
     options = options or CorpusOptions()
     scoped = scoped and not options.include
-    spark = seeds.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = checkpointed(links.select("url", "links").repartition(parts, "url"))
     scope = [c for c in ("domain", "subdomain") if c in seeds.columns]
-
-    level = checkpointed(
-        seeds.select(
+    buckets = Buckets(seeds.sparkSession)
+    try:
+        link_table = buckets.write(links.select("url", "links"), "url")
+        first = seeds.dropDuplicates(["site", "url"]).select(
             "site", "url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url"), *scope
-        ).dropDuplicates(["site", "url"]).repartition(parts, "site", "url")
-    )
-    seen = [level]
-    depth = 0
-    while options.max_depth is None or depth < options.max_depth:
-        depth += 1
-        out = level.join(links, "url").select(
-            "site", *scope, F.col("url").alias("parent_url"), F.explode("links").alias("link")
         )
-        if scoped:
-            out = out.filter(
-                in_scope(F.col("link"), F.struct(*scope), options.stay_on_subdomain)
+        level = buckets.write(first, "site", "url")
+        seen, depth = [level], 0
+        while options.max_depth is None or depth < options.max_depth:
+            depth += 1
+            out = buckets.rows(level).join(buckets.rows(link_table), "url").select(
+                "site", *scope, F.col("url").alias("parent_url"), F.explode("links").alias("link")
             )
-        fresh = out.groupBy("site", F.col("link.url").alias("url")).agg(
-            F.min("parent_url").alias("parent_url"), *[F.first(c).alias(c) for c in scope]
-        )
-        for known in seen:
-            fresh = fresh.join(known.select("site", "url"), ["site", "url"], "left_anti")
-        level = checkpointed(
-            fresh.select("site", "url", F.lit(depth).alias("depth"), "parent_url", *scope)
-        )
-        if level.isEmpty():
-            break
-        seen.append(level)
-        if len(seen) > LEVELS_PER_PACK:
-            seen = [checkpointed(_together(seen).repartition(parts, "site", "url"))]
-    return _together(seen)
-
-
-def _together(levels: list[DataFrame]) -> DataFrame:
-    whole = levels[0]
-    for level in levels[1:]:
-        whole = whole.unionByName(level)
-    return whole
+            if scoped:
+                out = out.filter(
+                    in_scope(F.col("link"), F.struct(*scope), options.stay_on_subdomain)
+                )
+            fresh = out.select("site", F.col("link.url").alias("url"), "parent_url", *scope).groupBy(
+                "site", "url"
+            ).agg(F.min("parent_url").alias("parent_url"), *[F.first(c).alias(c) for c in scope])
+            for known in seen:
+                fresh = fresh.join(
+                    buckets.rows(known).select("site", "url"), ["site", "url"], "left_anti"
+                )
+            level = buckets.write(
+                fresh.select("site", "url", F.lit(depth).alias("depth"), "parent_url", *scope),
+                "site", "url", shuffle=False,
+            )
+            if buckets.rows(level).isEmpty():
+                break
+            seen.append(level)
+            if len(seen) > LEVELS_PER_PACK:
+                seen = [buckets.write(buckets.files(seen), "site", "url")]
+        return buckets.files(seen)
+    finally:
+        buckets.close()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagemill.functions.text import reported_title
 from pagemill.functions.urls import url_label
+from pagemill.session import checkpointed
 
 # Page states and messages.
 SUCCESS, FAILED, SKIPPED, CRAWLING = "success", "failed", "skipped", "crawling"
@@ -90,7 +91,7 @@ def crawl_tree(status_rows: DataFrame) -> DataFrame:
     """Pre-order listing per site: ``(site, place, level, url, label, more_children)``.
 
     At most 5 children per parent, 4 levels below the root and 15 nodes per
-    site. The cap of 5 is pushed below the shuffle (window group limit), the
+    site. Deeper pages are left out at the scan, the cap of 5 is pushed below the shuffle (window group limit), the
     child count is a plain aggregation, and a site's tree has at most
     1+5+25+125+625 candidates, so a parent with a third of all pages is no
     hot spot.
@@ -100,12 +101,10 @@ def crawl_tree(status_rows: DataFrame) -> DataFrame:
         (F.col("status") == SUCCESS) & (F.coalesce("title", F.lit("")) != ""),
         F.left("title", F.lit(TITLE_WIDTH)),
     ).otherwise(url_label(F.col("url"), LABEL_WIDTH))
-    fans = status_rows.filter("parent_url is not null").groupBy(
-        "site", F.col("parent_url").alias("url")
-    ).agg(F.count("*").alias("fan"))
-    kids = (
-        status_rows.filter("parent_url is not null")
-        .withColumn("rank", F.row_number().over(by_url))
+    near = status_rows.filter((F.col("parent_url").isNotNull()) & (F.col("depth") <= TREE_LEVELS))
+    fans = near.groupBy("site", F.col("parent_url").alias("url")).agg(F.count("*").alias("fan"))
+    kids = checkpointed(
+        near.withColumn("rank", F.row_number().over(by_url))
         .filter(F.col("rank") <= TREE_CHILDREN)
         .select("site", "parent_url", "rank", F.col("url").alias("kid"), label.alias("kid_label"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 DOCS = "https://docs.example.com/p/"
 
 LINK_GRAPH = f"""
-with p as (select page_id i, count(*) over () n from {{pages}}),
+with p as (select page_id i, (select count(*) from {{pages}}) n from {{pages}}),
 e as (select i src, 2*i+1 dst, n from p union all
       select i, 2*i+2, n from p union all
       select i, (7*i+3) % n, n from p)
@@ -23,7 +23,7 @@ GRAPH_PAGES = f"""
 select page_id, concat('{DOCS}', page_id) url,
  replace(html, '</nav>', concat(
    '<a href="/p/', 2*page_id+1, '">n</a><a href="/p/', 2*page_id+2,
-   '">n</a><a href="/p/', (7*page_id+3) % (count(*) over ()), '">n</a>',
+   '">n</a><a href="/p/', (7*page_id+3) % (select count(*) from {{pages}}), '">n</a>',
    case when page_id % 11 = 10 then '<a href="http://[bad/x">b</a>' else '' end,
    '</nav>')) html
 from {{pages}}
@@ -62,6 +62,8 @@ TREE_STATUS = f"""
 select concat('site', page_id % 2) site, concat('{DOCS}', page_id) url,
  case when page_id < 2 then null
    else concat('{DOCS}', cast(floor((floor(page_id / 2) - 1) / 7) as bigint) * 2 + page_id % 2) end parent_url,
+ case when page_id < 2 then 0 when page_id < 16 then 1 when page_id < 114 then 2 when page_id < 800 then 3
+   when page_id < 5602 then 4 else 5 end depth,
  case page_id % 8 when 1 then 'failed' when 2 then 'skipped' else 'success' end status,
  case page_id % 3 when 0 then null when 1 then '' else concat('A title that is longer than forty characters ', page_id) end title
 from {{pages}}

@@ -52,3 +52,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if shared and df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+class Buckets:
+    """Tables bucketed by a join key: written once, joined many times without a shuffle.
+
+    They live in the shared folder; the catalog only knows them while a loop
+    runs, and ``close`` makes it forget the names.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.paths: dict[str, str] = {}
+
+    def write(self, df: DataFrame, *keys: str, shuffle: bool = True) -> str:
+        """Name of the new table. ``shuffle=False``: rows already lie by these keys."""
+        name = f"pagemill_{uuid.uuid4().hex}"
+        path = work_folder(self.spark, "buckets")
+        laid = df.repartition(self.parts, *keys) if shuffle else df
+        laid.write.format("parquet").bucketBy(self.parts, *keys).option("path", path).saveAsTable(name)
+        self.paths[name] = path
+        return name
+
+    def rows(self, name: str) -> DataFrame:
+        return self.spark.table(name)
+
+    def files(self, names: list[str]) -> DataFrame:
+        """The tables' rows by path; usable after ``close``."""
+        return self.spark.read.schema(self.rows(names[0]).schema).parquet(*[self.paths[n] for n in names])
+
+    def close(self) -> None:
+        for name in self.paths:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -26,12 +26,17 @@ def write_pages(docs: DataFrame, path: str, parts: int | None = None, mode: str
 def write_merged_text(segments: DataFrame, path: str, parts: int | None = None, mode: str = "overwrite") -> None:
     """Merged documents as text files in reading order, one folder per site.
 
-    Lines end as written; a large site becomes several files, in name order.
+    A large site becomes several files, in name order. Text files end their
+    records with a line end, so every segment must, too; the usual separator does.
     """
+    text = F.col("text")
+    value = F.when(
+        F.endswith(text, F.lit("\n")), F.left(text, F.length(text) - 1)
+    ).otherwise(F.raise_error(F.lit("a separator for text files must end with a line end")))
     parts = parts or int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
         segments.repartitionByRange(parts, "site", "section", "place")
         .sortWithinPartitions("site", "section", "place")
-        .select("site", F.col("text").alias("value"))
-        .write.mode(mode).option("lineSep", "").partitionBy("site").text(path)
+        .select("site", value.alias("value"))
+        .write.mode(mode).partitionBy("site").text(path)
     )
