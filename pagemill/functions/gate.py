@@ -13,11 +13,16 @@ SKIPPED_HREF = r"^(javascript:|mailto:|tel:|#)"
 
 
 def java_pattern(pattern: str) -> str:
-    """A Python pattern for the JVM: named groups respelled, Unicode ignore-case on."""
+    """A Python pattern for the JVM: named groups respelled, Unicode ignore-case on.
+
+    Patterns are searched for, so a leading ``.*`` decides nothing and is left
+    out: with it every start position would be tried against the whole text.
+    """
     if re.search(r"\(\?P[=>]", pattern):
         raise ValueError(f"named back-references are not supported: {pattern!r}")
     re.compile(pattern)
-    return "(?iU)(?:" + pattern.replace("(?P<", "(?<") + ")"
+    searched = re.sub(r"^(?:\.\*)+(?![?+*{])", "", pattern)
+    return "(?diU)(?:" + searched.replace("(?P<", "(?<") + ")"
 
 
 def found_any(text: Column, patterns: Sequence[str]) -> Column:

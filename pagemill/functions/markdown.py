@@ -122,11 +122,12 @@ def local_tree(nodes: Column, kept: Column, root: Column, base: Column) -> Colum
                 F.array_min(
                     ids(F.filter(children, lambda c: c["kind"] == "element"))
                 ).alias("first_element"),
-                F.array_max(
-                    ids(F.filter(
+                F.when(
+                    F.exists(children, lambda c: c["tag"].isin("ul", "ol")),
+                    F.array_max(ids(F.filter(
                         children,
                         lambda c: (c["kind"] == "element") | ~is_blank(c["text"]),
-                    ))
+                    ))),
                 ).alias("last_content"),
                 F.when(
                     node["tag"] == "ol",
@@ -180,15 +181,18 @@ def _text_piece(text: Column, parent: Column, before: Column, after: Column) ->
 def _join(pieces: Column, parent: Column) -> Column:
     """Newlines that meet at a seam become the larger of the two runs, two at most."""
     def settle(text):
-        text = F.regexp_replace(
-            text, rf"\n{{2,}}{SEAM}\n+|\n+{SEAM}\n{{2,}}", "\n\n"
-        )
-        text = F.regexp_replace(text, rf"\n{SEAM}\n", "\n")
+        for before, after in (("\n\n", "\n\n"), ("\n\n", "\n"), ("\n", "\n\n"), ("\n", "\n")):
+            met = F.lit(before + SEAM + after)
+            text = F.replace(text, met, F.lit(max(before, after, key=len)))
         return F.replace(text, F.lit(SEAM), F.lit(""))
 
+    def joined(text):
+        blocks = F.contains(text, F.lit("\n" + SEAM + "\n"))
+        return F.when(blocks, settle(text)).otherwise(F.replace(text, F.lit(SEAM), F.lit("")))
+
     return F.when(
         parent["in_pre"] | (parent["tag"] == "pre"), F.array_join(pieces, "")
-    ).otherwise(settle(F.array_join(pieces, SEAM)))
+    ).otherwise(let(F.array_join(pieces, SEAM), joined))
 
 
 def _spaced_mark(text: Column, mark: str, node: Column) -> Column:
@@ -358,9 +362,15 @@ def _apply_tag(node: Column, text: Column, tree: Column) -> Column:
     )
 
 
-def render(nodes: Column, kept: Column, root: Column, base: Column) -> Column:
+def render(nodes: Column, kept: Column, root: Column, base: Column, tag_rules=()) -> Column:
     """Markdown of the kept subtree of ``root`` (a node), before tidying."""
 
+    def convert(node, text, tree):
+        own = F
+        for tag, rule in tag_rules:
+            own = own.when(node["tag"] == tag, rule(node, text))
+        return own.otherwise(_apply_tag(node, text, tree)) if tag_rules else _apply_tag(node, text, tree)
+
     def fold(tree):
         def piece(done, node, kid, place):
             kid_at = lambda step: at(tree, at(node["kids"], place + step))
@@ -378,7 +388,7 @@ def render(nodes: Column, kept: Column, root: Column, base: Column) -> Column:
                 F.transform(node["kids"], lambda kid, place: piece(done, node, kid, place)),
                 lambda s: s != "",
             )
-            return let(_join(pieces, node), lambda text: _apply_tag(node, text, tree))
+            return let(_join(pieces, node), lambda text: convert(node, text, tree))
 
         def level(done, depth):
             return F.transform(

@@ -12,8 +12,9 @@ BLANKS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-# The same as a regex class.
+# The same as a regex class, and its opposite.
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+NOT_BLANK = "[^" + BLANK[1:]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -35,7 +36,7 @@ def rstrip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return strip(text) == ""
+    return ~text.rlike(NOT_BLANK)
 
 
 def tidy_markdown(md: Column) -> Column:

@@ -73,20 +73,34 @@ def is_malformed(url: Column) -> Column:
     return host.rlike(r"[\[\]]") & ~host.rlike(literal)
 
 
+# URLs and references of these plain shapes need no taking apart.
+PLAIN_URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#\s]+(?:/[^?#;\t\r\n]*)?\z"
+PLAIN_WEB = r"^https?://[^/?#\[\]\s]+(?:/[^?#;\t\r\n]*)?\z"
+PLAIN_PATH = r"^/(?!/)(?!(?:[^/]*/)*\.{1,2}(?:/|\z))[^?#;\t\r\n]*\z"
+
+
+def _without_last_slash(whole: Column) -> Column:
+    return F.substring(whole, F.lit(1), F.length(whole) - 1)
+
+
 def normalize_url(url: Column) -> Column:
     """Key of a page. Apply exactly once: a second pass can give another key."""
-    cleaned = clean_url(url)
-    only_path = path(cleaned)
-    whole = F.concat(scheme(cleaned), F.lit("://"), netloc(cleaned), only_path)
-    trimmed = F.when(
-        F.endswith(whole, F.lit("/")) & (only_path != "/"),
-        F.substring(whole, F.lit(1), F.length(whole) - 1),
-    ).otherwise(whole)
-    arguments = F.array_join(F.array_sort(F.split(query(cleaned), "&")), "&")
-    return F.lower(
-        F.when(query(cleaned) == "", trimmed).otherwise(
+    plain = F.when(
+        F.endswith(url, F.lit("/")) & ~url.rlike(r"^[^/]*//[^/]*/\z"), _without_last_slash(url)
+    ).otherwise(url)
+
+    def general(parts):
+        whole = F.concat(parts["scheme"], F.lit("://"), parts["netloc"], parts["path"])
+        trimmed = F.when(
+            F.endswith(whole, F.lit("/")) & (parts["path"] != "/"), _without_last_slash(whole)
+        ).otherwise(whole)
+        arguments = F.array_join(F.array_sort(F.split(parts["query"], "&")), "&")
+        return F.when(parts["query"] == "", trimmed).otherwise(
             F.concat(trimmed, F.lit("?"), arguments)
         )
+
+    return F.lower(
+        F.when(url.rlike(PLAIN_URL), plain).otherwise(let(url_parts(url), general))
     )
 
 
@@ -139,38 +153,42 @@ def resolve(base: Column, href: Column) -> Column:
 
     A reference with a scheme of its own is returned as written.
     """
-    ref, home = clean_url(href), clean_url(base)
-    own = scheme(ref)
-    other_scheme = (own != "") & (own != scheme(home))
-    ref_path, ref_query = raw_path(ref), query(ref)
-    ref_params = F.substring(ref_path, F.length(path(ref)) + 1, F.length(ref_path))
-    fragment = F.regexp_extract(ref, r"(?s)(#.+)\z", 1)
-    asked = F.when(ref_query == "", F.lit("")).otherwise(F.concat(F.lit("?"), ref_query))
-    home_query = F.when(query(home) == "", F.lit("")).otherwise(
-        F.concat(F.lit("?"), query(home))
-    )
-    origin = F.concat(scheme(home), F.lit("://"), netloc(home))
-    with_slash = F.when(
-        (ref_path == "") | F.startswith(ref_path, F.lit("/")), ref_path
-    ).otherwise(F.concat(F.lit("/"), ref_path))
+    site = r"^https?://[^/?#\s]+"
+
+    def general(home, ref):
+        ref_path = F.concat(ref["path"], _prefixed(";", ref["params"]))
+        tail = F.concat(_prefixed("?", ref["query"]), _prefixed("#", ref["fragment"]))
+        origin = F.concat(home["scheme"], F.lit("://"), home["netloc"])
+        rooted = F.when(
+            (ref_path == "") | F.startswith(ref_path, F.lit("/")), ref_path
+        ).otherwise(F.concat(F.lit("/"), ref_path))
+        home_path = F.concat(home["path"], _prefixed(";", home["params"]))
+        home_query = F.when(ref["query"] == "", _prefixed("?", home["query"])).otherwise(F.lit(""))
+        return (
+            F.when((ref["scheme"] != "") & (ref["scheme"] != home["scheme"]), href)
+            .when(ref["netloc"] != "", F.concat(home["scheme"], F.lit("://"), ref["netloc"], rooted, tail))
+            .when(ref_path == "", F.concat(origin, home_path, home_query, tail))
+            .otherwise(F.concat(
+                origin, _merged_path(home["path"], ref["path"]), _prefixed(";", ref["params"]), tail
+            ))
+        )
+
     return (
-        F.when(is_malformed(href), F.lit(None).cast("string"))
+        F.when(href.rlike(PLAIN_PATH) & base.rlike(site), F.concat(F.regexp_extract(base, site, 0), href))
+        .when(href.rlike(PLAIN_WEB), href)
+        .when(is_malformed(href), F.lit(None).cast("string"))
         .when(href == "", base)
-        .when(other_scheme, href)
-        .when(netloc(ref) != "", F.concat(scheme(home), F.lit("://"), netloc(ref), with_slash, asked, fragment))
-        .when(
-            ref_path == "",
-            F.concat(
-                origin, raw_path(home),
-                F.when(ref_query == "", home_query).otherwise(asked), fragment,
-            ),
-        )
-        .otherwise(
-            F.concat(origin, _merged_path(path(home), path(ref)), ref_params, asked, fragment)
-        )
+        .otherwise(let(
+            F.struct(url_parts(base).alias("home"), url_parts(href).alias("ref")),
+            lambda both: general(both["home"], both["ref"]),
+        ))
     )
 
 
+def _prefixed(mark: str, part: Column) -> Column:
+    return F.when(part == "", F.lit("")).otherwise(F.concat(F.lit(mark), part))
+
+
 def root_url(root: Column) -> Column:
     """The root with scheme and without trailing slashes, not yet a key."""
     with_scheme = F.when(root.rlike("^https?://"), root).otherwise(

@@ -10,6 +10,8 @@ from pagemill.session import Buckets
 
 # So many level tables are tested one by one before they are packed into one.
 LEVELS_PER_PACK = 8
+# While fewer URLs than this are known, they are broadcast in one piece instead.
+MAX_BROADCAST_SEEN = 100_000
 
 
 def breadth_first(
@@ -40,7 +42,7 @@ def breadth_first(
             "site", "url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url"), *scope
         )
         level = buckets.write(first, "site", "url")
-        seen, depth = [level], 0
+        seen, n_seen, depth = [level], buckets.rows(level).count(), 0
         while options.max_depth is None or depth < options.max_depth:
             depth += 1
             out = buckets.rows(level).join(buckets.rows(link_table), "url").select(
@@ -53,19 +55,26 @@ def breadth_first(
             fresh = out.select("site", F.col("link.url").alias("url"), "parent_url", *scope).groupBy(
                 "site", "url"
             ).agg(F.min("parent_url").alias("parent_url"), *[F.first(c).alias(c) for c in scope])
-            for known in seen:
-                fresh = fresh.join(
-                    buckets.rows(known).select("site", "url"), ["site", "url"], "left_anti"
-                )
+            for known in _known(buckets, seen, n_seen):
+                fresh = fresh.join(known.select("site", "url"), ["site", "url"], "left_anti")
             level = buckets.write(
                 fresh.select("site", "url", F.lit(depth).alias("depth"), "parent_url", *scope),
                 "site", "url", shuffle=False,
             )
-            if buckets.rows(level).isEmpty():
+            n_level = buckets.rows(level).count()
+            if n_level == 0:
                 break
+            n_seen += n_level
             seen.append(level)
             if len(seen) > LEVELS_PER_PACK:
                 seen = [buckets.write(buckets.files(seen), "site", "url")]
         return buckets.files(seen)
     finally:
         buckets.close()
+
+
+def _known(buckets: Buckets, seen: list[str], n_seen: int) -> list[DataFrame]:
+    """What new URLs are tested against: one small broadcast, or co-located tables."""
+    if n_seen <= MAX_BROADCAST_SEEN:
+        return [F.broadcast(buckets.files(seen))]
+    return [buckets.rows(name) for name in seen]

@@ -6,8 +6,11 @@ already stored and Spark does the scheduling.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+
 # Elements that never carry page content.
 BOILERPLATE_SELECTORS = """
 nav header footer aside
@@ -54,5 +57,8 @@ class CorpusOptions:
     content: tuple[str, ...] = field(default_factory=lambda: tuple(CONTENT_SELECTORS))
     # True: one malformed link fails its page. False: only that link is dropped.
     bad_link_fails_page: bool = True
+    # Own rendering of tags: (tag, (node, text) -> Column) pairs, tried before the built-in
+    # rules. node has tag, classes, attrs and target; text is what its children gave.
+    tag_rules: tuple[tuple[str, Callable[[Column, Column], Column]], ...] = ()
     # A site with more pages than this is merged into several ordered parts.
     pages_per_part: int = 1000

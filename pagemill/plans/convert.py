@@ -30,7 +30,7 @@ def _page_markdown(application: str, options: CorpusOptions, nodes_name: str, ba
     nodes, base = F.col(nodes_name), F.col(base_name)
 
     def converted(title, kept, root):
-        body = tidy_markdown(markdown.render(nodes, kept, root, base))
+        body = tidy_markdown(markdown.render(nodes, kept, root, base, options.tag_rules))
         missing = F.concat(F.lit("# "), title, F.lit("\n\n" + NO_CONTENT))
         bad = F.exists(
             dom.subtree(nodes, root),
@@ -103,21 +103,31 @@ def page_facts(
     ``links`` is array<struct<url, domain, subdomain>>.
     """
     options = options or CorpusOptions()
-    shredded = shred(pages.select("url", "html"))
-    nodes, base = F.col("nodes"), F.col("url")
-    links = F.transform(
-        link_urls(nodes, base, options),
-        lambda u: let(
-            domain_of_host(host_name(u), rules),
-            lambda d: F.struct(
-                u.alias("url"), d["domain"].alias("domain"), d["subdomain"].alias("subdomain")
-            ),
-        ),
-    )
-    done = page_markdown(options)
-    return shredded.select(
-        "url", links.alias("links"), has_bad_anchor(nodes).alias("bad_anchor"), done.alias("done")
+    application = SparkContext.getOrCreate().applicationId
+    return shred(pages.select("url", "html")).select(
+        "url", _scoped_links(application, rules, options).alias("links"),
+        has_bad_anchor(F.col("nodes")).alias("bad_anchor"), page_markdown(options).alias("done"),
     ).select(
         "url", "links", F.col("done.markdown").alias("markdown"),
         (F.col("bad_anchor") | F.col("done.bad_link")).alias("bad_link"),
     )
+
+
+@lru_cache(maxsize=64)
+def _scoped_links(application: str, rules: SuffixRules, options: CorpusOptions) -> Column:
+    """Link URLs with their domains; most links stay on the page's own host."""
+    def described(own):
+        def link(u, host):
+            domain = F.when(host == own["host"], own["of"]).otherwise(domain_of_host(host, rules))
+            return let(domain, lambda d: F.struct(
+                u.alias("url"), d["domain"].alias("domain"), d["subdomain"].alias("subdomain")
+            ))
+
+        return F.transform(
+            link_urls(F.col("nodes"), F.col("url"), options),
+            lambda u: let(host_name(u), lambda host: link(u, host)),
+        )
+
+    home = host_name(F.col("url"))
+    own = let(home, lambda h: F.struct(h.alias("host"), domain_of_host(h, rules).alias("of")))
+    return let(own, described)

@@ -492,7 +492,7 @@ def md_tables(spark, folder):
 
 @query
 def tidy_markdown(spark, folder):
-    messy = derived.derive(spark, folder, derived.MESSY_DOCUMENTS)
+    messy = spread(derived.derive(spark, folder, derived.MESSY_DOCUMENTS))
     return messy.select("doc_id", text.tidy_markdown(F.col("md")).alias("markdown"))
 
 
@@ -546,7 +546,8 @@ query(build_corpus_merged)
 
 @query
 def stream_markdown(spark, folder):
-    stream = arrivals.markdown_stream(runs.file_stream(spark, folder, "pages"))
+    pages = runs.file_stream(spark, folder, "pages").repartition(spark.sparkContext.defaultParallelism)
+    stream = arrivals.markdown_stream(pages)
     return runs.drained(stream, "stream-markdown")
 
 

@@ -89,6 +89,12 @@ def test_own_selectors(spark):
     assert to_markdown(pages, options).first().markdown == "# Untitled\n\nn"
 
 
+def test_own_tag_rule(spark):
+    pages = spark.createDataFrame([(URL, art("<mark>m</mark><b>b</b>"))], "url string, html string")
+    options = CorpusOptions(tag_rules=(("mark", lambda node, text: F.concat(F.lit("=="), text, F.lit("=="))),))
+    assert to_markdown(pages, options).first().markdown == T + "==m==**b**"
+
+
 TIDY = [
     ("a\n\n\n\nb", "a\n\nb"), ("a  \nb", "a\nb"), ("[t]( ) ![i]()", "t !i"), ("x\n\n-\n\ny", "x\n\ny"),
     ("a\n\n# H\n\nb", "a\n\n\n# H\n\nb"), ("- a\n    - b", "- a\n - b"),
