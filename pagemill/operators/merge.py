@@ -7,7 +7,7 @@ a sequence of bounded parts whose concatenation is the whole document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagemill.functions.urls import anchor, merged_filename, page_filename
 from pagemill.functions.text import page_document
@@ -29,7 +29,8 @@ def numbered(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """Add ``place`` (1.. by url within site) and ``n_pages``, without a per-site sort.
 
     Rows are range-partitioned and sorted by (site, url) and stored, one file
-    run per partition. The row number inside a partition then needs no shuffle;
+    run per partition. Finding the ranges reads the rows once more, so hand in
+    a stored table, not an expensive plan. The row number inside a partition then needs no shuffle;
     only one (first row, count) pair per site and partition is aggregated to
     turn it into a number within the site.
     """
@@ -61,7 +62,7 @@ def toc(numbered_rows: DataFrame) -> DataFrame:
     return numbered_rows.select("site", "place", "url", line.alias("line"))
 
 
-def head(n_pages) -> F.Column:
+def head(n_pages: Column) -> Column:
     return F.concat(
         F.lit("# Merged Documentation\n**Total Pages:** "), n_pages.cast("string"),
         F.lit("\n\n## Table of Contents\n"),
@@ -92,6 +93,14 @@ def segments(docs: DataFrame, separator: str = PAGE_SEPARATOR, parts: int | None
     ).select("site", "n_pages", "s.section", "place", "s.text")
 
 
+def merged_name(site: Column, name: str | None = None) -> Column:
+    """File name of a site's merged document: as given, else from the site's host."""
+    if name:
+        return F.lit(name)
+    url = F.when(site.contains("://"), site).otherwise(F.concat(F.lit("https://"), site))
+    return merged_filename(url)
+
+
 def merged_documents(
     docs: DataFrame,
     pages_per_part: int = 1000,
@@ -111,16 +120,12 @@ def merged_documents(
         chunk + F.when(F.col("section") == 1, contents_parts).otherwise(F.lit(0))
     ).cast("long")
     ordered = F.array_sort(F.collect_list(F.struct("section", "place", "text")))
-    filename = F.lit(name) if name else merged_filename(
-        F.when(F.col("site").contains("://"), F.col("site"))
-        .otherwise(F.concat(F.lit("https://"), "site"))
-    )
     return (
         segments(docs, separator, parts).withColumn("part", part)
         .groupBy("site", "part")
         .agg(F.first("n_pages").alias("n_pages"), ordered.alias("pieces"))
         .select(
-            "site", filename.alias("merged_filename"), "n_pages", "part",
+            "site", merged_name(F.col("site"), name).alias("merged_filename"), "n_pages", "part",
             F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("content"),
         )
     )

@@ -96,11 +96,11 @@ def to_markdown(
 
 
 def page_facts(
-    pages: DataFrame, rules: SuffixRules, options: CorpusOptions | None = None
+    pages: DataFrame, rules: SuffixRules | None, options: CorpusOptions | None = None
 ) -> DataFrame:
     """``(url, links, bad_link, markdown)`` per page, from ``(url, html)`` with url a page key.
 
-    ``links`` is array<struct<url, domain, subdomain>>.
+    ``links`` is array<struct<url, domain, subdomain>>; without rules the domains stay NULL.
     """
     options = options or CorpusOptions()
     application = SparkContext.getOrCreate().applicationId
@@ -114,8 +114,15 @@ def page_facts(
 
 
 @lru_cache(maxsize=64)
-def _scoped_links(application: str, rules: SuffixRules, options: CorpusOptions) -> Column:
+def _scoped_links(application: str, rules: SuffixRules | None, options: CorpusOptions) -> Column:
     """Link URLs with their domains; most links stay on the page's own host."""
+    if rules is None:
+        unknown = F.lit(None).cast("string")
+        return F.transform(
+            link_urls(F.col("nodes"), F.col("url"), options),
+            lambda u: F.struct(u.alias("url"), unknown.alias("domain"), unknown.alias("subdomain")),
+        )
+
     def described(own):
         def link(u, host):
             domain = F.when(host == own["host"], own["of"]).otherwise(domain_of_host(host, rules))

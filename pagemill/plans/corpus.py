@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.functions.domains import load_rules, with_domains
+from pagemill.functions.domains import domains_by_join, host_name, load_rules, with_domains
 from pagemill.functions.gate import in_scope
 from pagemill.functions.urls import normalize_url, root_url, seed_url
 from pagemill.operators import merge, status
@@ -15,6 +15,7 @@ from pagemill.operators.links import one_page_per_url
 from pagemill.options import CorpusOptions
 from pagemill.plans.convert import page_facts
 from pagemill.session import stored
+from pagemill.sources import sinks
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,17 @@ class Corpus:
     def saved_files(self) -> DataFrame:
         return self.page_docs.select("site", "url", "filename")
 
+    def write(self, path: str, merge_pages: bool = True, parts: int | None = None) -> DataFrame:
+        """Write ``pages``, ``page_status`` and ``stats`` tables and the ``merged`` text
+        files below ``path``; returns ``(site, saved, merged_filename)``."""
+        sinks.write_pages(self.page_docs, f"{path}/pages", parts)
+        self.page_status.write.mode("overwrite").parquet(f"{path}/page_status")
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        if merge_pages:
+            sinks.write_merged_text(self.segments(parts), f"{path}/merged", parts)
+        name = merge.merged_name(F.col("site"), self.options.merged_name)
+        return self.saved_count().withColumn("merged_filename", name)
+
 
 def seeds(roots: DataFrame, suffixes: DataFrame) -> DataFrame:
     """``roots(site, root_url)`` -> ``(site, url, domain, subdomain)``."""
@@ -64,12 +76,12 @@ def build_corpus(
     """
     options = options or CorpusOptions()
     rules = load_rules(suffixes)
-    if rules is None:
-        raise ValueError("suffix table too large for a plan; see domains_by_join")
     keyed = pages.select("page_id", normalize_url(F.col("url")).alias("url"), "html").filter(
         "html is not null"
     )
     facts = stored(page_facts(one_page_per_url(keyed).drop("page_id"), rules, options), "facts")
+    if rules is None:
+        facts = stored(_join_domains(facts, suffixes), "facts")
 
     usable = facts
     if options.bad_link_fails_page:
@@ -105,3 +117,26 @@ def build_corpus(
         stats=status.crawl_stats(states),
         options=options,
     )
+
+
+def _join_domains(facts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """Fill in the domains of all links by a join, for suffix tables too large for a plan.
+
+    Hosts are joined once each; a host that a third of all links lead to is a
+    skewed key of an equi-join with one row on the other side, which Spark splits.
+    """
+    links = facts.select("url", F.posexplode("links").alias("place", "link")).select(
+        "url", "place", F.col("link.url").alias("link"), host_name(F.col("link.url")).alias("host")
+    )
+    described = F.struct("place", F.struct(F.col("link").alias("url"), "domain", "subdomain").alias("link"))
+    # A page's links are regrouped; their number is bounded by the page.
+    filled = (
+        links.join(domains_by_join(links, suffixes), "host")
+        .groupBy("url").agg(F.array_sort(F.collect_list(described)).alias("described"))
+    )
+    return facts.join(filled, "url", "left").select(
+        "url",
+        F.when(F.col("described").isNull(), F.col("links"))
+        .otherwise(F.transform("described", lambda d: d["link"])).alias("links"),
+        "markdown", "bad_link",
+    )

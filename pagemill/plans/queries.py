@@ -14,7 +14,7 @@ from pagemill.options import CorpusOptions
 from pagemill.plans import derived
 from pagemill.plans.convert import has_bad_anchor, link_urls, page_markdown, to_markdown
 from pagemill.plans.corpus import build_corpus
-from pagemill.session import spread, work_folder
+from pagemill.session import spread, stored, work_folder
 from pagemill.sources import fetchlog, sinks
 from pagemill.sources.html import node_rows, shred
 from pagemill.streaming import arrivals, runs
@@ -137,7 +137,7 @@ def url_filename(spark, folder):
 @query
 def page_sink(spark, folder):
     path = work_folder(spark, "pages")
-    sinks.write_pages(merge.page_docs(keyed_markdown(spark, folder)), path)
+    sinks.write_pages(stored(merge.page_docs(keyed_markdown(spark, folder))), path)
     return spark.read.parquet(path).select("site", "filename", "url", F.md5("content").alias("digest"))
 
 
@@ -154,7 +154,7 @@ def toc(spark, folder):
 
 @query
 def merged_corpus(spark, folder):
-    return merge.merged_documents(merge.page_docs(keyed_markdown(spark, folder)))
+    return merge.merged_documents(stored(merge.page_docs(keyed_markdown(spark, folder))))
 
 
 @query

@@ -23,7 +23,7 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every task slot on a small input.
+    """Use every task slot on a small scanned input.
 
     A table of fewer scan partitions than slots is at most slots x split size,
     so moving it costs little against parsing it on a few slots. Larger inputs

@@ -11,7 +11,8 @@ def write_pages(docs: DataFrame, path: str, parts: int | None = None, mode: str
 
     One range shuffle serves both the choice and the layout: files are sorted
     by (site, filename), so readers of a site skip the rest by file statistics,
-    and a large site is spread over many files.
+    and a large site is spread over many files. Finding the ranges reads the
+    input once more, so hand in a stored table.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = Window.partitionBy("site", "filename").orderBy(F.col("url").desc())

@@ -287,6 +287,27 @@ def test_run_options(spark):
     assert wide[("h", "https://o.org/x")] == (1, "success", 1) and wide[("h", "https://o.org/y")][1] == "skipped"
 
 
+def test_large_suffix_tables_are_joined(spark, monkeypatch):
+    usual = states(corpus(spark))
+    monkeypatch.setattr("pagemill.functions.domains.MAX_RULES_IN_PLAN", 2)
+    assert states(corpus(spark)) == usual
+
+
+def test_large_seen_sets_are_joined_by_bucket(spark, monkeypatch):
+    usual = states(corpus(spark))
+    monkeypatch.setattr("pagemill.operators.frontier.MAX_BROADCAST_SEEN", 0)
+    assert states(corpus(spark)) == usual
+
+
+def test_written_corpus(spark):
+    path = work_folder(spark, "corpus-test")
+    saved = corpus(spark).write(path).collect()
+    assert sorted(map(tuple, saved)) == [("h", 3, "h.md"), ("o", 1, "o.md")]
+    assert spark.read.parquet(f"{path}/pages").count() == 4
+    assert spark.read.parquet(f"{path}/page_status").count() == 7
+    assert spark.read.text(f"{path}/merged").filter("value like '## Source: %'").count() == 4
+
+
 def test_results_do_not_depend_on_partitions(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     outcomes = []
