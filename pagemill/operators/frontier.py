@@ -10,7 +10,7 @@ from pagemill.session import Buckets
 
 # So many level tables are tested one by one before they are packed into one.
 LEVELS_PER_PACK = 8
-# While fewer URLs than this are known, they are broadcast in one piece instead.
+# Tables of at most so many URLs are not worth bucketing; seen URLs are broadcast.
 MAX_BROADCAST_SEEN = 100_000
 
 
@@ -24,12 +24,13 @@ def breadth_first(
 
     ``seeds(site, url, domain, subdomain)`` holds the page keys of the roots,
     one per site; ``links(url, links)`` has one row per stored page, links as
-    array<struct<url, domain, subdomain>>. With ``scoped=False`` (or include
+    array<struct<url, domain, subdomain>>; hand in a stored table. With ``scoped=False`` (or include
     patterns) links are not tested against the site's domain.
 
     Per level one job writes the new frontier. The link table is bucketed by
-    url once and every frontier by (site, url), so a level shuffles the last
-    frontier and its links but never the link table or the URLs seen so far.
+    url once and, past a small number of seen URLs, every frontier by (site,
+    url), so a level shuffles the last frontier and its links but never the
+    link table or the URLs seen so far.
     Popular link targets shrink in the partial aggregation before the shuffle.
     """
     options = options or CorpusOptions()
@@ -37,12 +38,15 @@ def breadth_first(
     scope = [c for c in ("domain", "subdomain") if c in seeds.columns]
     buckets = Buckets(seeds.sparkSession)
     try:
-        link_table = buckets.write(links.select("url", "links"), "url")
+        links = links.select("url", "links")
+        few = links.count() <= MAX_BROADCAST_SEEN
+        link_table = buckets.write_plain(links) if few else buckets.write(links, "url")
         first = seeds.dropDuplicates(["site", "url"]).select(
             "site", "url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url"), *scope
         )
-        level = buckets.write(first, "site", "url")
+        level = buckets.write_plain(first)
         seen, n_seen, depth = [level], buckets.rows(level).count(), 0
+        large = False
         while options.max_depth is None or depth < options.max_depth:
             depth += 1
             out = buckets.rows(level).join(buckets.rows(link_table), "url").select(
@@ -55,26 +59,25 @@ def breadth_first(
             fresh = out.select("site", F.col("link.url").alias("url"), "parent_url", *scope).groupBy(
                 "site", "url"
             ).agg(F.min("parent_url").alias("parent_url"), *[F.first(c).alias(c) for c in scope])
-            for known in _known(buckets, seen, n_seen):
-                fresh = fresh.join(known.select("site", "url"), ["site", "url"], "left_anti")
-            level = buckets.write(
-                fresh.select("site", "url", F.lit(depth).alias("depth"), "parent_url", *scope),
-                "site", "url", shuffle=False,
-            )
+            if n_seen > MAX_BROADCAST_SEEN and not large:
+                large = True
+                seen = [buckets.write(buckets.files(seen), "site", "url")]
+            # What new URLs are tested against: one small broadcast, or co-located tables.
+            known = [buckets.rows(n) for n in seen] if large else [F.broadcast(buckets.files(seen))]
+            for table in known:
+                fresh = fresh.join(table.select("site", "url"), ["site", "url"], "left_anti")
+            fresh = fresh.select("site", "url", F.lit(depth).alias("depth"), "parent_url", *scope)
+            if large:
+                level = buckets.write(fresh, "site", "url", shuffle=False)
+            else:
+                level = buckets.write_plain(fresh)
             n_level = buckets.rows(level).count()
             if n_level == 0:
                 break
             n_seen += n_level
             seen.append(level)
-            if len(seen) > LEVELS_PER_PACK:
+            if large and len(seen) > LEVELS_PER_PACK:
                 seen = [buckets.write(buckets.files(seen), "site", "url")]
         return buckets.files(seen)
     finally:
         buckets.close()
-
-
-def _known(buckets: Buckets, seen: list[str], n_seen: int) -> list[DataFrame]:
-    """What new URLs are tested against: one small broadcast, or co-located tables."""
-    if n_seen <= MAX_BROADCAST_SEEN:
-        return [F.broadcast(buckets.files(seen))]
-    return [buckets.rows(name) for name in seen]

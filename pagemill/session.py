@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
@@ -65,6 +65,7 @@ class Buckets:
         self.spark = spark
         self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.paths: dict[str, str] = {}
+        self.plain: dict[str, T.StructType] = {}
 
     def write(self, df: DataFrame, *keys: str, shuffle: bool = True) -> str:
         """Name of the new table. ``shuffle=False``: rows already lie by these keys."""
@@ -75,13 +76,22 @@ class Buckets:
         self.paths[name] = path
         return name
 
+    def write_plain(self, df: DataFrame) -> str:
+        """The same without buckets, for rows too few to care where they lie."""
+        name = f"pagemill_{uuid.uuid4().hex}"
+        self.paths[name] = work_folder(self.spark, "plain")
+        self.plain[name] = df.schema
+        df.write.parquet(self.paths[name])
+        return name
+
     def rows(self, name: str) -> DataFrame:
-        return self.spark.table(name)
+        return self.files([name]) if name in self.plain else self.spark.table(name)
 
     def files(self, names: list[str]) -> DataFrame:
         """The tables' rows by path; usable after ``close``."""
-        return self.spark.read.schema(self.rows(names[0]).schema).parquet(*[self.paths[n] for n in names])
+        schema = self.plain.get(names[0]) or self.rows(names[0]).schema
+        return self.spark.read.schema(schema).parquet(*[self.paths[n] for n in names])
 
     def close(self) -> None:
-        for name in self.paths:
+        for name in self.paths.keys() - self.plain.keys():
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
