@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import language, secrets, sentencepieces, topk, urlfilter
+from pagemill.llm import language, secrets, sentencepieces, simhash, topk, urlfilter
 from pagemill.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -55,6 +55,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("all_joined").alias("spans"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -64,5 +68,6 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_top_k": op3_top_k,
     "op4_secret_scan": op4_secret_scan,
+    "op7_simhash": op7_simhash,
     "op10_url_filter": op10_url_filter,
 }
