@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import language, secrets, sentencepieces, simhash, topk, urlfilter
+from pagemill.llm import decontaminate, language, secrets, sentencepieces, simhash, topk, urlfilter
 from pagemill.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -59,6 +59,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "passages", F.col("question_overlap").alias("overlap"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -69,5 +74,6 @@ QUERIES = {
     "op3_top_k": op3_top_k,
     "op4_secret_scan": op4_secret_scan,
     "op7_simhash": op7_simhash,
+    "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
 }

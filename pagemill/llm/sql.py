@@ -31,5 +31,31 @@ hits as (
 select p.page_id, p.host, p.path, hits.rule, coalesce(hits.verdict, 'allow') as verdict
 from p left join (select distinct page_id, host, path, rule, verdict from hits where n = 1) hits
   on p.page_id is not distinct from hits.page_id and p.host = hits.host and p.path = hits.path
+""",
+    "op9_decontamination": r"""
+with words as (
+  select 'd' as kind, doc_id as id, string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+') as w from documents
+  union all
+  select 'b', item_id, string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+') from benchmark),
+clean as (select kind, id, list_filter(w, lambda x: x <> '') as w from words),
+grams as (
+  select kind, id, len(w) as n, s, array_to_string(w[s + 1:s + 5], ' ') as gram
+  from clean, unnest(generate_series(0, greatest(len(w) - 5, 0))) as t(s) where len(w) > 0),
+item as (select distinct id as item_id, gram from grams where kind = 'b'),
+sizes as (select item_id, count(*) as size from item group by 1),
+stride as (select max(n) as m from grams where kind = 'b'),
+hits as (
+  select g.id as doc_id, g.n, g.s, i.item_id, i.gram from grams g join item i using (gram) where g.kind = 'd'),
+placed as (
+  select distinct doc_id, item_id, gram, p
+  from hits, stride, unnest([s // m, s // m - 1]) as t(p)
+  where p >= 0 and p < greatest(1, (n + m - 1) // m - 1) and s + 5 <= (p + 2) * m),
+shares as (
+  select doc_id, item_id, p, count(*) / any_value(size) as overlap
+  from placed join sizes using (item_id) group by all)
+select doc_id, item_id, count(*) as passages, max(overlap) as overlap
+from shares where overlap >= 0.8 - 1e-12 group by 1, 2
 """,
 }
