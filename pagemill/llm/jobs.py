@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import decontaminate, language, secrets, sentencepieces, simhash, topk, urlfilter
+from pagemill.llm import decontaminate, language, lines, secrets, sentencepieces, simhash, topk, urlfilter
 from pagemill.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -55,6 +55,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("all_joined").alias("spans"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.with_counts(table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256)
+    return found.select("row.doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
 
@@ -73,6 +79,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_top_k": op3_top_k,
     "op4_secret_scan": op4_secret_scan,
+    "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,

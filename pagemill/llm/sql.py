@@ -57,5 +57,35 @@ shares as (
   from placed join sizes using (item_id) group by all)
 select doc_id, item_id, count(*) as passages, max(overlap) as overlap
 from shares where overlap >= 0.8 - 1e-12 group by 1, 2
+""",
+    "op6_line_dedup": r"""
+with texts as (select doc_id, string_split(text, chr(10)) as lines from documents where text is not null),
+line as (
+  select doc_id, s as line,
+    list_filter(string_split_regex(lines[s + 1], '[ \t\x0B\f\r]+'), lambda x: x <> '') as w
+  from texts, unnest(generate_series(0, len(lines) - 1)) as t(s)),
+content as (
+  select array_to_string(w, ' ') as c, any_value(w) as w, min(row(doc_id, line)) as first
+  from line where len(w) > 0 group by 1),
+variant as (
+  select c, first, len(w) as n, i, array_to_string(w[1:i - 1] || w[i + 1:], ' ') as v
+  from content, unnest(generate_series(1, len(w))) as t(i) where len(w) >= 8),
+near as (
+  select a.c, min(b.first) as first from variant a join variant b on a.n = b.n and a.i = b.i and a.v = b.v group by 1
+  union all
+  select a.c, min(b.first) from variant a join content b on a.v = b.c where len(b.w) >= 8 group by 1
+  union all
+  select b.c, min(a.first) from variant a join content b on a.v = b.c where len(b.w) >= 8 group by 1
+  union all
+  select c, first from content),
+least_place as (select c, min(first) as first from near group by 1),
+gone as (
+  select doc_id, line from line join least_place on c = array_to_string(w, ' ')
+  where len(w) > 0 and row(doc_id, line) > first),
+removed as (select doc_id, list(line) as lines from gone group by 1)
+select d.doc_id, coalesce(len(t.lines), 0)::bigint as n_lines, coalesce(len(r.lines), 0)::bigint as n_removed,
+  sha256(case when r.lines is null then coalesce(d.text, '') else coalesce(array_to_string(
+    list_filter(t.lines, lambda x, i: not list_contains(r.lines, i - 1)), chr(10)), '') end) as kept_sha256
+from documents d left join texts t using (doc_id) left join removed r using (doc_id)
 """,
 }
