@@ -87,5 +87,21 @@ select d.doc_id, coalesce(len(t.lines), 0)::bigint as n_lines, coalesce(len(r.li
   sha256(case when r.lines is null then coalesce(d.text, '') else coalesce(array_to_string(
     list_filter(t.lines, lambda x, i: not list_contains(r.lines, i - 1)), chr(10)), '') end) as kept_sha256
 from documents d left join texts t using (doc_id) left join removed r using (doc_id)
+""",
+    "op8_substring_dedup": r"""
+with w as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '') as w
+  from documents),
+windows as (
+  select doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) as h
+  from w, unnest(generate_series(1, len(w) - 49)) as t(s) where len(w) >= 50),
+owner as (select h, min(doc_id) as low from windows group by 1),
+hit as (select doc_id, s from windows join owner using (h) where doc_id > low),
+gone as (
+  select doc_id, list_sort(list_distinct(flatten(list(generate_series(s, s + 49))))) as gone from hit group by 1)
+select w.doc_id, len(w.w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+  sha256(coalesce(array_to_string(case when gone is null then w.w else list_select(w.w,
+    list_filter(generate_series(1, len(w.w)), lambda i: not list_contains(gone, i))) end, ' '), '')) as kept_sha256
+from w left join gone using (doc_id)
 """,
 }
