@@ -32,15 +32,25 @@ def _wide(x: np.ndarray, size: int, combine) -> np.ndarray:
     return combine(x, _shifted(x, size - have)) if size > have else x
 
 
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, kept for the next call."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, _INVERSE)):
+            x = np.full(n, base)
+            x[0] = 1
+            _POWERS[i] = np.multiply.accumulate(x)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 class Sums:
     """Hashes of any run of symbols, from running sums of the symbols' values times powers of an odd base."""
 
     def __init__(self, values: np.ndarray):
-        n = len(values) + 1
-        power, inverse = np.full(n, _BASE), np.full(n, _INVERSE)
-        power[0] = inverse[0] = 1
-        power, self.inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
-        self.sums = np.zeros(n, np.uint64)
+        power, self.inverse = _powers(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * power[:-1], out=self.sums[1:])
 
     def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -76,9 +86,11 @@ def find_anchors(values: np.ndarray, lengths: np.ndarray, window: int, k: int, s
     long_enough = np.flatnonzero(room > 0)
     if not len(long_enough):
         return Anchors(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
-    kmers = _wide(values, k, lambda x, y: mix64(x * _LEFT + y * _RIGHT))
+    kmers = np.zeros(len(values), np.uint64)  # those that pass the end stay void; no owned window has them
+    at = np.arange(len(values) - k + 1)
+    kmers[:len(at)] = sums.hashes(at, at + k)
     low = np.uint64(MAX_SYMBOLS - 1)
-    keys = (mix64(kmers) & ~low) | np.arange(len(values), dtype=np.uint64)
+    keys = (kmers & ~low) | np.arange(len(values), dtype=np.uint64)
     least = _wide(keys, window - k + 1, np.minimum)
     n = room[long_enough]
     text = np.repeat(long_enough, n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import decontaminate, language, lines, secrets, sentencepieces, simhash, spans, topk, urlfilter
+from pagemill.llm import decontaminate, language, lines, secrets, sentencepieces, simhash, spans, suffixes, topk, urlfilter
 from pagemill.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -55,6 +55,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("all_joined").alias("spans"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), window=100)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.with_counts(table(spark, sf_dir, "documents"))
     kept = F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256)
@@ -84,6 +89,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_top_k": op3_top_k,
     "op4_secret_scan": op4_secret_scan,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
     "op8_substring_dedup": op8_substring_dedup,
