@@ -35,6 +35,20 @@ def doc_texts(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), *columns)
 
 
+def filtered(docs: DataFrame, keep) -> DataFrame:
+    """Whole rows of ``docs`` for which ``keep(list of texts)`` is true; nothing is shuffled."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            step = max(1, int(batch.num_rows * 16e6 / max(1, batch.nbytes)))
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit integers (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

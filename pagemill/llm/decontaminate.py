@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pagemill.llm.common import arrow_rows, doc_texts
+from pagemill.llm.common import arrow_rows, doc_texts, filtered
 
 BLOCK = 8
 SHARD_ITEMS = 1000
@@ -159,6 +159,12 @@ def _shards(items: DataFrame) -> list[list[tuple]]:
     yield shard
 
 
+def _items(benchmark: DataFrame, question: str, answer: str | None) -> DataFrame:
+    return benchmark.select(
+        F.col("item_id").cast("long").alias("item_id"), F.col(question).cast("string").alias("question"),
+        (F.col(answer) if answer else F.lit(None)).cast("string").alias("answer"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8,
                  question: str = "text", answer: str | None = None) -> DataFrame:
     """doc_id, item_id, passages, question_overlap, answer_overlap, score for every document that holds an item.
@@ -169,9 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similari
     Repeated documents and items give a row for each. Other columns are left out. An empty benchmark gives no row.
     """
     spark = docs.sparkSession
-    items = benchmark.select(
-        F.col("item_id").cast("long").alias("item_id"), F.col(question).cast("string").alias("question"),
-        (F.col(answer) if answer else F.lit(None)).cast("string").alias("answer"))
+    items = _items(benchmark, question, answer)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("passages", pa.int64()),
                         ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("score", pa.float64())])
     columns = ("doc_id long, item_id long, passages long, question_overlap double, answer_overlap double,"
@@ -192,3 +196,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, similari
         part = searched(shard)
         result = part if result is None else result.union(part)
     return result
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8,
+          question: str = "text", answer: str | None = None) -> DataFrame:
+    """Whole rows of ``docs`` that hold no item, as ``contaminated`` means it."""
+    for shard in _shards(_items(benchmark, question, answer)):
+        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(shard, width, similarity))
+
+        def keep(texts: list[str | None], index=index) -> list[bool]:
+            bad = {t + at for at in range(0, len(texts), 500) for t, *_ in index.value.search(texts[at:at + 500])}
+            return [i not in bad for i in range(len(texts))]
+
+        docs = filtered(docs, keep)
+    return docs

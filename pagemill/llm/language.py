@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pagemill.llm.common import arrow_rows, doc_texts
+from pagemill.llm.common import arrow_rows, doc_texts, filtered
 
 FEATURES = 1 << 16
 KEPT_WORDS = 300_000
@@ -299,3 +299,14 @@ def predict(docs: DataFrame, model: Crf) -> DataFrame:
 
     return doc_texts(docs).mapInArrow(
         lambda b: arrow_rows(b, schema, run), "doc_id long, lang_pred string, score double")
+
+
+def reject(docs: DataFrame, model: Crf, least_score: float = 0.3) -> DataFrame:
+    """Whole rows of ``docs`` without those in no language: ``und``, or a score below ``least_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        found = [p for at in range(0, len(texts), 400) for p in shared.value.predict(texts[at:at + 400])]
+        return [label != UNDETERMINED and score >= least_score for label, score in found]
+
+    return filtered(docs, keep)

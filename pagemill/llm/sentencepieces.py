@@ -216,3 +216,18 @@ def round_trip(docs: DataFrame, model_file: str) -> DataFrame:
     return doc_texts(docs).mapInArrow(
         lambda b: arrow_rows(b, schema, run),
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encoded_and_decoded(docs: DataFrame, model_file: str) -> DataFrame:
+    """doc_id, ids array<int>, n_tokens, decoded_sha256: ``encode`` with a digest of the text that comes back."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()),
+                        ("decoded_sha256", pa.string())])
+
+    def run(doc_id, text):
+        enc = encoder(model_file)
+        ids = [enc.encode(t or "") for t in text]
+        return (doc_id, [np.frombuffer(i, "<i4") for i in ids], [len(i) // 4 for i in ids],
+                [sha256_hex(enc.decode(i).encode()) for i in ids])
+
+    return doc_texts(docs).mapInArrow(
+        lambda b: arrow_rows(b, schema, run), "doc_id long, ids array<int>, n_tokens long, decoded_sha256 string")
