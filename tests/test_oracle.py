@@ -3,12 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry
-
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+from pagemill.plans.oracle import ORACLE
+from pagemill.plans.queries import QUERIES
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def ordered(columns, rows):
