@@ -1,13 +1,13 @@
 """Cleaning and content selection on a page's ``nodes`` array.
 
 Each function takes the array (or something derived from it) and returns a
-Column. Per page the work is nodes x depth, and no row leaves its task.
+Column. No row leaves its task.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -25,6 +25,44 @@ def subtree(array: Column, node: Column) -> Column:
     return F.slice(array, node["node_id"] + 1, node["end_id"] - node["node_id"] + 1)
 
 
+def running_max(values: Column) -> Column:
+    """Largest of the entries up to each one, NULLs passed over (-1 before the first value).
+
+    In runs of 64, whose maxima are then run over, so long arrays are not copied for each entry.
+    """
+    size = 64
+
+    def grown(sofar, x):
+        return F.concat(sofar, F.array(F.greatest(F.element_at(sofar, -1), x)))
+
+    def over(runs):
+        begin = F.array(F.lit(-1))
+        inner = F.transform(runs, lambda run: F.slice(F.aggregate(run, begin, grown), F.lit(2), F.lit(size)))
+
+        def joined(inner):
+            tops = F.aggregate(inner, begin, lambda sofar, run: grown(sofar, F.element_at(run, -1)))
+            return let(tops, lambda tops: F.flatten(F.transform(
+                inner, lambda run, place: F.transform(run, lambda x: F.greatest(x, at(tops, place))))))
+
+        return let(inner, joined)
+
+    def cut(values):
+        runs = F.transform(
+            F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / size), F.lit(0)).cast("int")),
+            lambda n: F.slice(values, n * size + 1, F.lit(size)))
+        return F.when(F.size(values) > 0, let(runs, over)).otherwise(F.array().cast("array<int>"))
+
+    return let(values, cut)
+
+
+def covered(nodes: Column, hits: Callable[[Column], Column]) -> Column:
+    """array<int>: how far the subtrees reach that the nodes up to each one open and ``hits`` accepts.
+
+    A node lies in such a subtree, or opens one, if the entry is not smaller than its node_id.
+    """
+    return running_max(F.transform(nodes, lambda n: F.when(hits(n), n["end_id"])))
+
+
 def matches_any(node: Column, selectors: Iterable[str]) -> Column:
     """Does an element match one of the simple selectors (tag, .class, #id, [a='v'])?"""
     tags, classes, ids, attrs = [], [], [], {}
@@ -63,12 +101,9 @@ def boilerplate_flags(nodes: Column, selectors: Iterable[str]) -> Column:
 def kept_flags(nodes: Column, selectors: Iterable[str]) -> Column:
     """array<boolean>: does the node survive comment, boilerplate and empty-element removal?"""
 
-    def cut(hits):
+    def cut(reach):
         return F.transform(
-            nodes,
-            lambda n: (n["kind"] == "comment")
-            | at(hits, n["node_id"])
-            | F.exists(n["anc"], lambda a: at(hits, a)),
+            nodes, lambda n: (n["kind"] == "comment") | (at(reach, n["node_id"]) >= n["node_id"])
         )
 
     def solid(gone):
@@ -81,10 +116,11 @@ def kept_flags(nodes: Column, selectors: Iterable[str]) -> Column:
         )
 
     def full(solids):
-        return F.transform(
-            nodes,
-            lambda n: (n["kind"] == "element") & F.array_contains(subtree(solids, n), True),
-        )
+        """Elements with a solid node below: the last solid one up to their end is not before them."""
+        last = running_max(F.transform(solids, lambda solid, place: F.when(solid, place)))
+        return let(last, lambda last: F.transform(
+            nodes, lambda n: (n["kind"] == "element") & (at(last, n["end_id"]) >= n["node_id"])
+        ))
 
     def kept(gone, fulls):
         parent_full = lambda n: (n["parent_id"] < 0) | at(fulls, n["parent_id"])
@@ -98,9 +134,9 @@ def kept_flags(nodes: Column, selectors: Iterable[str]) -> Column:
         )
 
     return let(
-        boilerplate_flags(nodes, selectors),
-        lambda hits: let(
-            cut(hits),
+        covered(nodes, lambda n: matches_any(n, selectors)),
+        lambda reach: let(
+            cut(reach),
             lambda gone: let(
                 solid(gone),
                 lambda solids: let(full(solids), lambda fulls: kept(gone, fulls)),

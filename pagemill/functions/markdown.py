@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pagemill.functions.dom import at
+from pagemill.functions.dom import at, covered
 from pagemill.functions.text import is_blank, let, rstrip, strip
 from pagemill.functions.urls import is_malformed, resolve
 
@@ -91,13 +91,17 @@ def local_tree(nodes: Column, kept: Column, root: Column, base: Column) -> Colum
     """The kept subtree of ``root``: positions start at 0, children listed per element."""
     span = F.slice(nodes, root["node_id"] + 1, root["end_id"] - root["node_id"] + 1)
 
-    def above(node, tags):
-        return F.exists(
-            node["anc"],
-            lambda a: (a >= root["node_id"]) & at(nodes, a)["tag"].isin(tags),
-        )
+    marks = {"in_line": HEADINGS + ["td", "th"], "in_code": PREFORMATTED, "in_pre": ["pre"], "in_li": ["li"]}
+
+    def reaches(span):
+        return F.struct(*[covered(span, lambda n, t=t: n["tag"].isin(t)).alias(name) for name, t in marks.items()])
+
+    def above(node, reach):
+        """Is an ancestor below the root, or the root, of these tags? It lies before the node and ends behind it."""
+        before = F.coalesce(at(reach, node["node_id"] - root["node_id"] - 1), F.lit(-1))
+        return before >= node["node_id"]
 
-    def localise(node):
+    def localise(node, reach):
         here = node["node_id"]
         live = at(kept, here)
         element = live & (node["kind"] == "element")
@@ -133,16 +137,14 @@ def local_tree(nodes: Column, kept: Column, root: Column, base: Column) -> Colum
                     node["tag"] == "ol",
                     ids(F.filter(children, lambda c: c["tag"] == "li")),
                 ).alias("items"),
-                (element & above(node, HEADINGS + ["td", "th"])).alias("in_line"),
-                (element & above(node, PREFORMATTED)).alias("in_code"),
-                (element & above(node, ["pre"])).alias("in_pre"),
-                (element & above(node, ["li"])).alias("in_li"),
+                *[(element & above(node, reach[name])).alias(name) for name in marks],
             )
 
         none = F.filter(below, lambda _: F.lit(False))
         return let(F.when(element, kids).otherwise(none), with_kids)
 
-    return F.transform(span, localise)
+    return let(span, lambda span: let(reaches(span), lambda reach: F.transform(
+        span, lambda node: localise(node, reach))))
 
 
 def _is_tight(tag: Column) -> Column:

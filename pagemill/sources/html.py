@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import re
 import sys
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 NODE_FIELDS = (
     "struct<node_id:int,end_id:int,parent_id:int,depth:int,kind:string,tag:string,"
-    "classes:array<string>,attrs:map<string,string>,text:string,anc:array<int>>"
+    "classes:array<string>,attrs:map<string,string>,text:string>"
 )
 
 # Executors need no copy of this package: the parser travels with the job.
@@ -64,26 +65,50 @@ END_RANK = {
     "tfoot": 180, "table": 190, "head": 200, "body": 200, "html": 220,
 }
 
-TOKEN = re.compile(
-    r"<!--(?P<comment>.*?)(?:-->|\Z)"
-    r"|<[!?][^>]*>"
-    r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+# A start tag: the first ">" outside quotes ends it.
+START = re.compile(r"<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
+END_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+NAME_STOP = re.compile(r"[\s/>]")
+SPECIAL = re.compile(r"[>\"']")
 ATTR = re.compile(
     r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S
 )
 RAW_END = {tag: re.compile(rf"</{tag}", re.I) for tag in ("script", "style")}
 
-# Deeper elements are kept side by side at this depth, so ancestor lists stay short.
-MAX_DEPTH = 256
-
 # An output batch is closed once it holds this many characters or nodes.
 BATCH_CHARS = 16_000_000
 BATCH_NODES = 200_000
 
 
+class TagEnds:
+    """Where tags end, for pages with broken ones: every answer is found once, so reading stays linear.
+
+    Seen from outside quotes, the way on from a special character is always the
+    same: a ">" ends the tag, a quote leads behind the next one of its kind.
+    """
+
+    def __init__(self, source: str):
+        self.places = [m.start() for m in SPECIAL.finditer(source)]
+        self.ends = [-1] * (len(self.places) + 1)
+        following = {}
+        for k in range(len(self.places) - 1, -1, -1):
+            sign = source[self.places[k]]
+            if sign == ">":
+                self.ends[k] = self.places[k]
+            else:
+                if sign in following:
+                    self.ends[k] = self.ends[following[sign] + 1]
+                following[sign] = k
+        self.source, self.stop = source, -1
+
+    def after(self, at: int) -> int:
+        """Position of the ">" that ends a tag whose name begins at ``at``; -1 if none does. ``at`` only grows."""
+        if self.stop < at:
+            found = NAME_STOP.search(self.source, at)
+            self.stop = found.start() if found else len(self.source)
+        return self.ends[bisect_left(self.places, self.stop)]
+
+
 class TreeWriter:
     """Appends the nodes of one page after another to flat column lists."""
 
@@ -91,7 +116,6 @@ class TreeWriter:
         self.offsets = [0]
         self.node_id, self.end_id, self.parent_id, self.depth = [], [], [], []
         self.kind, self.tag, self.text = [], [], []
-        self.anc, self.anc_offsets = [], [0]
         self.keys, self.values, self.attr_offsets = [], [], [0]
         self.classes, self.class_offsets = [], [0]
         self.chars = 0
@@ -106,8 +130,6 @@ class TreeWriter:
         self.tag.append(tag)
         self.text.append(text)
         self.chars += len(text or "")
-        self.anc.extend(self.open)
-        self.anc_offsets.append(len(self.anc))
         for key, value in attrs:
             self.keys.append(key)
             self.values.append(value)
@@ -118,9 +140,6 @@ class TreeWriter:
         return local
 
     def push(self, tag, attrs=()):
-        if len(self.open) >= MAX_DEPTH:
-            self.add("element", tag, attrs=attrs)
-            return
         self.open.append(self.add("element", tag, attrs=attrs))
         self.open_tags.append(tag)
 
@@ -139,29 +158,53 @@ class TreeWriter:
         self.offsets.append(len(self.node_id))
 
     def read(self, source):
-        at = 0
-        end = len(source)
-        while at < end:
-            token = TOKEN.search(source, at)
-            stop = token.start() if token else end
-            if stop > at:
-                self.characters(source[at:stop])
-            if not token:
-                return
-            at = token.end()
-            if token["start"]:
-                tag = token["start"].lower()
-                self.start(tag, token["attrs"])
-                if tag in RAW_END and self.open_tags and self.open_tags[-1] == tag:
-                    close = RAW_END[tag].search(source, at)
-                    stop = close.start() if close else end
-                    if stop > at:
-                        self.add("raw", text=source[at:stop])
-                    at = stop
-            elif token["end"]:
-                self.end(token["end"].lower())
-            elif token["comment"] is not None:
-                self.add("comment", text=token["comment"])
+        at = begin = 0  # begin: of text that is not yet added
+        ends, closed, length = None, True, len(source)  # closed: a ">" may still lie ahead
+
+        def text_until(stop):
+            if stop > begin:
+                self.characters(source[begin:stop])
+
+        while (at := source.find("<", at)) >= 0:
+            sign = source[at + 1:at + 2]
+            if sign.isascii() and sign.isalpha():
+                tag = START.match(source, at) if ends is None else None
+                if tag:
+                    stop, name, attrs = tag.end(), tag[1], tag[2]
+                else:
+                    ends = ends or TagEnds(source)
+                    stop = ends.after(at + 1) + 1
+                    if not stop:
+                        at += 1
+                        continue
+                    name, attrs = source[at + 1:ends.stop], source[ends.stop:stop - 1]
+                text_until(at)
+                at = begin = stop
+                name = name.lower()
+                self.start(name, attrs)
+                if name in RAW_END and self.open_tags and self.open_tags[-1] == name:
+                    close = RAW_END[name].search(source, at)
+                    at = close.start() if close else length
+                    if at > begin:
+                        self.add("raw", text=source[begin:at])
+                    begin = at
+            elif source.startswith("<!--", at):
+                text_until(at)
+                stop = source.find("-->", at + 4)
+                self.add("comment", text=source[at + 4:stop if stop >= 0 else length])
+                at = begin = stop + 3 if stop >= 0 else length
+            else:
+                name = END_NAME.match(source, at + 2) if sign == "/" and closed else None
+                stop = source.find(">", at + 2) if closed and (name or sign in ("!", "?")) else -1
+                if stop < 0:
+                    closed = closed and not (name or sign in ("!", "?"))
+                    at += 1
+                    continue
+                text_until(at)
+                at = begin = stop + 1
+                if name:
+                    self.end(name[0].lower())
+        text_until(length)
 
     def characters(self, text):
         text = entities.unescape(text)
@@ -232,13 +275,12 @@ class TreeWriter:
         attrs = pa.MapArray.from_arrays(
             ints(self.attr_offsets), texts(self.keys), texts(self.values)
         )
-        anc = pa.ListArray.from_arrays(ints(self.anc_offsets), ints(self.anc))
         classes = pa.ListArray.from_arrays(ints(self.class_offsets), texts(self.classes))
         columns = [
             ints(self.node_id), ints(self.end_id), ints(self.parent_id), ints(self.depth),
-            texts(self.kind), texts(self.tag), classes, attrs, texts(self.text), anc,
+            texts(self.kind), texts(self.tag), classes, attrs, texts(self.text),
         ]
-        names = "node_id end_id parent_id depth kind tag classes attrs text anc".split()
+        names = "node_id end_id parent_id depth kind tag classes attrs text".split()
         return pa.ListArray.from_arrays(
             ints(self.offsets), pa.StructArray.from_arrays(columns, names)
         )

@@ -1,18 +1,22 @@
 """Links, frontier, bookkeeping, merge and fetch log on small hand-made inputs."""
 
 import random
+import re
+import time
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.functions import dom
 from pagemill.operators import frontier, links, merge, status
 from pagemill.options import CorpusOptions
 from pagemill.plans import derived
+from pagemill.plans.convert import to_markdown
 from pagemill.plans.corpus import build_corpus
 from pagemill.session import Buckets, work_folder
 from pagemill.sources import fetchlog, sinks
-from pagemill.sources.html import node_rows, shred
+from pagemill.sources.html import TagEnds, TreeWriter, node_rows, shred
 
 LINKS = "url string, links array<struct<url:string,domain:string,subdomain:string>>"
 
@@ -104,7 +108,6 @@ def test_node_rows_form_a_tree(spark, folder):
         assert list(page.node_id) == list(range(len(page)))
         for n in page.itertuples():
             assert n.node_id <= n.end_id < len(page)
-            assert list(n.anc) == ([] if n.parent_id < 0 else list(page.anc[n.parent_id]) + [n.parent_id])
             if n.parent_id >= 0:
                 assert page.end_id[n.parent_id] >= n.end_id
 
@@ -113,10 +116,43 @@ def test_deep_nesting_keeps_the_text(spark):
     html = "<article>" + "<span>" * 2000 + "deep" + "</span>" * 2000 + " after</article>"
     pages = spark.createDataFrame([(1, "https://h.com/p", html)], "page_id long, url string, html string")
     nodes = node_rows(shred(pages))
-    assert nodes.agg(F.max(F.size("anc"))).first()[0] <= 256
+    assert nodes.agg(F.max("depth")).first()[0] > 2000
     assert [r.text for r in nodes.filter("kind = 'text'").orderBy("node_id").collect()] == ["deep", " after"]
 
 
+def test_deep_elements_are_elements(spark):
+    for levels in (300, 5000):
+        inner = "<nav>NAV</nav><script>var a='SCRIPT'</script>keep<!-- no -->"
+        html = "<div><article>" + "<div>" * levels + "a" + inner + "</div>" * levels + "TAIL</article></div>"
+        pages = spark.createDataFrame([(1, "https://h.com/p", html)], "page_id long, url string, html string")
+        if levels < 1000:  # rendering takes a step a level
+            assert to_markdown(pages).first().markdown == "# Untitled\n\nakeep\n\nTAIL"
+        kept = shred(pages).select("nodes", dom.kept_flags(F.col("nodes"), CorpusOptions().boilerplate).alias("k"))
+        texts = [n.text for r in kept.collect() for n, k in zip(r.nodes, r.k) if k and n.kind == "text"]
+        assert texts == ["a", "keep", "TAIL"]
+
+
+@pytest.mark.parametrize("piece", ["<a b='x ", "<a ", "<!x ", "</a ", "<a<", "<", "<a b='x' ", "<a b=\"'", "<p", "'<a \""])
+def test_broken_tags_are_read_in_linear_time(piece):
+    begin = time.process_time()
+    writer = TreeWriter()
+    writer.page(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - begin < 4
+    assert "".join(t for t in writer.text if t).replace("\n", "")[:3] == (piece * 3)[:3]
+
+
+def test_tag_ends_equal_one_pattern():
+    random.seed(11)
+    plain = re.compile(r"<([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+    for _ in range(3000):
+        source = "".join(random.choice(["<a", "<b ", "'", '"', ">", "x", " ", "/", "=", "</a>"]) for _ in range(25))
+        ends = TagEnds(source)
+        for at in range(len(source)):
+            if re.match("<[a-zA-Z]", source[at:]):
+                found = plain.match(source, at)
+                assert ends.after(at + 1) == (found.end() - 1 if found else -1), source
+
+
 DOCS = [("h.com", "https://h.com/b", "B"), ("h.com", "https://h.com/a", "A")]
 MERGED = """# Merged Documentation
 **Total Pages:** 2
