@@ -13,7 +13,7 @@ SKIPPED_HREF = r"^(javascript:|mailto:|tel:|#)"
 
 
 def java_pattern(pattern: str) -> str:
-    """A Python pattern for the JVM: named groups respelled, Unicode ignore-case on.
+    """A Python pattern for the JVM: named groups made plain ones, Unicode ignore-case on.
 
     Patterns are searched for, so a leading ``.*`` decides nothing and is left
     out: with it every start position would be tried against the whole text.
@@ -22,7 +22,9 @@ def java_pattern(pattern: str) -> str:
         raise ValueError(f"named back-references are not supported: {pattern!r}")
     re.compile(pattern)
     searched = re.sub(r"^(?:\.\*)+(?![?+*{])", "", pattern)
-    return "(?diU)(?:" + searched.replace("(?P<", "(?<") + ")"
+    # Only whether a pattern is found counts, so a named group may be a plain one; "\\(?P<" is text.
+    plain = re.sub(r"(\\.)|\(\?P<\w+>", lambda m: m[1] or "(", searched, flags=re.S)
+    return "(?diU)(?:" + plain + ")"
 
 
 def found_any(text: Column, patterns: Sequence[str]) -> Column:

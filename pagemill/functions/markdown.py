@@ -61,13 +61,14 @@ def is_bad_image(node: Column) -> Column:
 def a_markdown(node: Column, text: Column) -> Column:
     text = strip(text)
     plain = F.concat(F.lit("["), text, F.lit("]("), node["target"])
-    return F.when((text == "") | (attr(node, "href") == ""), text).otherwise(
+    # A target that cannot be made sense of leaves the bare text.
+    return F.when((text == "") | (attr(node, "href") == "") | node["target"].isNull(), text).otherwise(
         F.concat(plain, _quoted(attr(node, "title")), F.lit(")"))
     )
 
 
 def img_markdown(node: Column) -> Column:
-    return F.when(attr(node, "src") == "", F.lit("")).otherwise(
+    return F.when(attr(node, "src") == "", F.lit("")).when(node["target"].isNull(), attr(node, "alt")).otherwise(
         F.concat(
             F.lit("!["), attr(node, "alt"), F.lit("]("), node["target"],
             _quoted(attr(node, "title")), F.lit(")"),

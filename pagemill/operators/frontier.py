@@ -8,8 +8,6 @@ from pagemill.functions.gate import in_scope
 from pagemill.options import CorpusOptions
 from pagemill.session import Buckets
 
-# So many level tables are tested one by one before they are packed into one.
-LEVELS_PER_PACK = 8
 # Tables of at most so many URLs are not worth bucketing; seen URLs are broadcast.
 MAX_BROADCAST_SEEN = 100_000
 
@@ -29,8 +27,8 @@ def breadth_first(
 
     Per level one job writes the new frontier. The link table is bucketed by
     url once and, past a small number of seen URLs, every frontier by (site,
-    url), so a level shuffles the last frontier and its links but never the
-    link table or the URLs seen so far.
+    url), so a level shuffles the last frontier and its links but not the
+    link table; seen URLs are moved when tables of similar size are packed.
     Popular link targets shrink in the partial aggregation before the shuffle.
     """
     options = options or CorpusOptions()
@@ -46,7 +44,7 @@ def breadth_first(
         )
         level = buckets.write_plain(first)
         seen, n_seen, depth = [level], buckets.rows(level).count(), 0
-        large = False
+        sizes, large = [n_seen], False
         while options.max_depth is None or depth < options.max_depth:
             depth += 1
             out = buckets.rows(level).join(buckets.rows(link_table), "url").select(
@@ -62,6 +60,7 @@ def breadth_first(
             if n_seen > MAX_BROADCAST_SEEN and not large:
                 large = True
                 seen = [buckets.write(buckets.files(seen), "site", "url")]
+                sizes = [n_seen]
             # What new URLs are tested against: one small broadcast, or co-located tables.
             known = [buckets.rows(n) for n in seen] if large else [F.broadcast(buckets.files(seen))]
             for table in known:
@@ -76,8 +75,12 @@ def breadth_first(
                 break
             n_seen += n_level
             seen.append(level)
-            if large and len(seen) > LEVELS_PER_PACK:
-                seen = [buckets.write(buckets.files(seen), "site", "url")]
+            sizes.append(n_level)
+            # Tables of similar size are packed into one, so a URL is written again a few times
+            # only, a logarithm of their number, however many levels there are.
+            while large and len(seen) > 1 and sizes[-2] <= 2 * sizes[-1]:
+                seen[-2:] = [buckets.write(buckets.files(seen[-2:]), "site", "url")]
+                sizes[-2:] = [sizes[-2] + sizes[-1]]
         return buckets.files(seen)
     finally:
         buckets.close()

@@ -11,9 +11,6 @@ from pagemill.plans.convert import anchors, link_urls
 from pagemill.session import checkpointed
 from pagemill.sources.html import shred
 
-# Duplicate pages up to this many are excluded by a broadcast list.
-MAX_BROADCAST_KEYS = 1_000_000
-
 
 def raw_links(pages: DataFrame, base: str = "url") -> DataFrame:
     """``(page_id, url, place, href, target)`` for every usable anchor, NULL target if malformed."""
@@ -43,21 +40,26 @@ def page_links(pages: DataFrame, options: CorpusOptions, base: str = "url") -> D
 
 
 def one_page_per_url(pages: DataFrame, url: str = "url") -> DataFrame:
-    """Of pages with the same key keep the smallest page_id.
+    """Of pages with the same key keep the smallest page_id, of equal ids the smallest hash of the row.
 
-    Only (url, page_id) is shuffled to find the superfluous pages. They are
-    few as a rule and then removed by a broadcast anti join, so page bodies
-    stay where they are; past the bound Spark plans a regular join.
+    Only keys and hashes are shuffled to find the keys of more than one page, with the row that stays. Spark
+    broadcasts them if they are as few as usual; page bodies then stay where they are. Rows that are equal
+    throughout are one page. Page ids need not be unique; NULL ids come last.
     """
-    firsts = pages.groupBy(url).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    twice = firsts.filter("n > 1")
-    losers = checkpointed(
-        pages.select(url, "page_id").join(twice, url)
-        .filter(F.col("page_id") != F.col("first")).select("page_id")
+    hashed = pages.withColumn("_row", F.struct(
+        F.col("page_id").isNull(), "page_id", F.xxhash64(*[F.col(c) for c in sorted(pages.columns)])))
+    many = checkpointed(
+        hashed.groupBy(F.col(url).alias("_key"))
+        .agg(F.min("_row").alias("_first"), F.count("*").alias("_n"), F.count_distinct("_row").alias("_kinds"))
+        .filter("_n > 1")
     )
-    if losers.count() <= MAX_BROADCAST_KEYS:
-        losers = F.broadcast(losers)
-    return pages.join(losers, "page_id", "left_anti")
+    told = hashed.join(many, F.col(url).eqNullSafe(F.col("_key")), "left")
+    # Equal rows lie in different places; only such keys move their bodies.
+    alike = F.col("_n") > F.col("_kinds")
+    kept = told.filter(F.col("_first").isNull() | (F.col("_row") == F.col("_first")))
+    single = kept.filter(~F.coalesce(alike, F.lit(False))).select(*pages.columns)
+    repeated = kept.filter(alike).select(*pages.columns).dropDuplicates(["page_id", url])
+    return single.unionByName(repeated)
 
 
 def unseen(candidates: DataFrame, seen: DataFrame, keys: tuple[str, ...] = ("site", "url")) -> DataFrame:

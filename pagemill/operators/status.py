@@ -109,7 +109,7 @@ def crawl_tree(status_rows: DataFrame) -> DataFrame:
         .select("site", "parent_url", "rank", F.col("url").alias("kid"), label.alias("kid_label"))
     )
     level = status_rows.filter("parent_url is null").select(
-        "site", "url", label.alias("label"), F.lit(0).alias("level"),
+        "site", "url", url_label(F.col("url"), TITLE_WIDTH).alias("label"), F.lit(0).alias("level"),
         F.array().cast("array<int>").alias("path"),
     )
     shown = level

@@ -62,3 +62,11 @@ class CorpusOptions:
     tag_rules: tuple[tuple[str, Callable[[Column, Column], Column]], ...] = ()
     # A site with more pages than this is merged into several ordered parts.
     pages_per_part: int = 1000
+
+    def __post_init__(self):
+        # Lists are welcome; tuples can be told apart by value.
+        for name in ("include", "exclude", "exclude_extensions", "boilerplate", "content", "tag_rules"):
+            value = getattr(self, name)
+            if isinstance(value, str):
+                raise TypeError(f"{name} takes a list of strings, not one string")
+            object.__setattr__(self, name, tuple(value))

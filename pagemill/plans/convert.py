@@ -84,14 +84,21 @@ def to_markdown(
     url: str = "url",
     html: str = "html",
 ) -> DataFrame:
-    """Replace ``html`` by ``title`` and ``markdown``; works on streams as well."""
+    """Replace ``html`` by ``title``, ``markdown`` and ``bad_link``; works on streams as well.
+
+    ``bad_link``: a link or image of the page leads to a malformed URL; its text is in the markdown without it.
+    """
     options = options or CorpusOptions()
     shredded = shred(pages, html)
     others = [c for c in shredded.columns if c != "nodes"]
-    return shredded.select(
+    done = shredded.select(
         *others,
         dom.page_title(F.col("nodes")).alias("title"),
-        page_markdown(options, base=url)["markdown"].alias("markdown"),
+        page_markdown(options, base=url).alias("done"),
+        has_bad_anchor(F.col("nodes")).alias("bad_anchor"),
+    )
+    return done.select(
+        *others, "title", "done.markdown", (F.col("bad_anchor") | F.col("done.bad_link")).alias("bad_link")
     )
 
 

@@ -28,5 +28,5 @@ def test_query_equals_sql(spark, folder, db, name):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["page_id", "url", "title", "markdown"]
+    assert df.columns == ["page_id", "url", "title", "markdown", "bad_link"]
     assert df.count() == 50
