@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column, functions as F
 
 from pagemill.functions.text import let
@@ -66,11 +69,32 @@ def url_parts(url: Column) -> Column:
     )
 
 
+@lru_cache(maxsize=1)
+def _ip_literal() -> str:
+    """A host of an IP address in brackets: the nine forms of RFC 3986, with a zone, or a future version."""
+    part, byte = "[0-9A-Fa-f]{1,4}", r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    last = rf"(?:{part}:{part}|{byte}(?:\.{byte}){{3}})"
+    forms = [f"(?:{part}:){{6}}{last}"]
+    for before in range(8):  # at most so many groups before the gap
+        behind = {6: part, 7: ""}.get(before, f"(?:{part}:){{{5 - before}}}{last}")
+        front = f"(?:(?:{part}:){{0,{before - 1}}}{part})?" if before else ""
+        forms.append(f"{front}::{behind}")
+    address = "|".join(forms)
+    return rf"^(?:[^\[\]]*@)?\[(?:(?:{address})(?:%[^%\]]+)?|[vV][0-9A-Fa-f]+\..+)\](?::[^\[\]]*)?$"
+
+
+@lru_cache(maxsize=1)
+def _disguised_marks() -> str:
+    """A class of the characters that compatibility normalisation turns into a mark that ends or splits a host."""
+    found = [c for c in map(chr, range(0x80, 0x20000)) if set("/?#@:") & set(unicodedata.normalize("NFKC", c))]
+    return "[" + "".join(found) + "]"
+
+
 def is_malformed(url: Column) -> Column:
-    """Square brackets in the host that do not enclose an IP literal."""
+    """Square brackets in the host that do not enclose an IP literal, or a disguised mark in it."""
     host = netloc(clean_url(url))
-    literal = r"^(?:[^\[\]]*@)?\[(?:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%[^\]]*)?|[vV][0-9A-Fa-f]+\..+)\](?::[^\[\]]*)?$"
-    return host.rlike(r"[\[\]]") & ~host.rlike(literal)
+    brackets = host.rlike(r"[\[\]]") & ~host.rlike(_ip_literal())
+    return brackets | host.rlike(_disguised_marks())
 
 
 # URLs and references of these plain shapes need no taking apart.

@@ -29,6 +29,14 @@ select page_id, concat('{DOCS}', page_id) url,
 from {{pages}}
 """
 
+# Pages with links that leave the site, by host or by subdomain; every 11th has a malformed one.
+OUTWARD_PAGES = """
+select page_id, url, url as root_url, replace(html, '</nav>', concat(
+   '<a href="https://elsewhere.org/x">e</a><a href="http://deep.example.com/y">d</a>',
+   case when page_id % 11 = 10 then '<a href="http://[1:2]/x">b</a>' else '' end, '</nav>')) html
+from {pages}
+"""
+
 FETCH_ATTEMPTS = """
 select url, attempt,
  case page_id % 8 when 2 then 404 when 3 then case when attempt<2 then 500 else 200 end when 4 then 503

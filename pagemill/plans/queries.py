@@ -282,30 +282,31 @@ def url_label(spark, folder):
 
 # ---- links and frontier ---------------------------------------------------------
 
-def keyed_pages(spark, folder) -> DataFrame:
-    return spread_pages(spark, folder).withColumn("url", urls.normalize_url(F.col("url")))
+def outward_pages(spark, folder) -> DataFrame:
+    pages = spread(derived.derive(spark, folder, derived.OUTWARD_PAGES))
+    return pages.withColumn("url", urls.normalize_url(F.col("url")))
+
+
+def scope_rules(spark):
+    return load_rules(spark.sql(derived.SUFFIXES))
 
 
 @query
 def extract_links(spark, folder):
-    found = links.raw_links(keyed_pages(spark, folder))
-    return found.filter(gate.passes_site_free_rules(F.col("target"), DEFAULT)).select(
-        "page_id", "place", F.col("target").alias("link")
-    )
+    found = links.scoped_links(outward_pages(spark, folder), DEFAULT, scope_rules(spark))
+    return found.select("page_id", "place", "link")
 
 
 @query
 def distinct_links(spark, folder):
-    return links.page_links(keyed_pages(spark, folder), DEFAULT).select(
-        "page_id", F.explode("links").alias("link")
-    )
+    found = links.page_links(outward_pages(spark, folder), DEFAULT, rules=scope_rules(spark))
+    return found.select("page_id", F.explode("links").alias("link"))
 
 
 @query
 def links_found(spark, folder):
-    return links.page_links(keyed_pages(spark, folder), DEFAULT).select(
-        "page_id", F.size("links").alias("links_found")
-    )
+    found = links.page_links(outward_pages(spark, folder), DEFAULT, rules=scope_rules(spark))
+    return found.select("page_id", F.size("links").alias("links_found"))
 
 
 @query
@@ -550,8 +551,11 @@ def stream_markdown(spark, folder):
 
 @query
 def stream_unseen(spark, folder):
-    pages = runs.file_stream(spark, folder, "pages").withColumn("site", host())
-    return runs.drained(arrivals.unseen_links(pages), "stream-unseen")
+    pages = runs.file_stream(spark, folder, "pages").withColumn("site", host()).withColumn(
+        "fetched_at", F.timestamp_seconds(F.col("page_id") + 1_700_000_000)
+    )
+    fresh = arrivals.unseen_links(pages, fetched_at="fetched_at", horizon="3650 days")
+    return runs.drained(fresh, "stream-unseen").select("site", "url")
 
 
 @query

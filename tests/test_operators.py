@@ -5,10 +5,13 @@ import re
 import time
 from dataclasses import replace
 
+from urllib.parse import urlsplit
+
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.functions import dom
+from pagemill.functions import dom, gate, urls
+from pagemill.functions.domains import load_rules
 from pagemill.operators import frontier, links, merge, status
 from pagemill.options import CorpusOptions
 from pagemill.plans import derived
@@ -97,8 +100,73 @@ def test_malformed_link_is_flagged_not_lost(spark):
     pages = spark.createDataFrame([(1, "https://h.com/p", html)], "page_id long, url string, html string")
     rows = links.raw_links(pages).orderBy("place").collect()
     assert [r.target for r in rows] == ["https://h.com/x", None, "mailto://a@b"]
-    kept = links.page_links(pages, CorpusOptions()).first().links
+    kept = links.page_links(pages, CorpusOptions(bad_link_fails_page=False)).first().links
     assert kept == ["https://h.com/x"]
+    assert links.page_links(pages, CorpusOptions()).first().links == []  # a failed page gives none
+
+
+def test_links_stay_in_scope(spark):
+    html = '<a href="/in">1</a><a href="http://other.org/x">2</a><a href="http://sub.h.com/y">3</a><a href="/in">4</a>'
+    pages = spark.createDataFrame(
+        [(1, "https://h.com/p", "https://h.com", html)], "page_id long, url string, root_url string, html string")
+    rules = load_rules(spark.sql(derived.SUFFIXES))
+    def of(**options):
+        return links.page_links(pages, CorpusOptions(**options), rules=rules).first().links
+    assert of() == ["https://h.com/in"]
+    assert of(stay_on_subdomain=False) == ["https://h.com/in", "http://sub.h.com/y"]
+    assert of(include=[r"/(?P<doc_id>[xy])$"]) == ["http://other.org/x", "http://sub.h.com/y"]
+    rows = links.scoped_links(pages, CorpusOptions(), rules).orderBy("place").collect()
+    assert [(r.place, r.link) for r in rows] == [(0, "https://h.com/in"), (3, "https://h.com/in")]
+
+
+def test_options_take_lists():
+    assert CorpusOptions(exclude=["/a"]) == CorpusOptions(exclude=("/a",))
+    assert gate.java_pattern(r"(?P<doc_id>\d+)\(?P<x>") == r"(?diU)(?:(\d+)\(?P<x>)"
+    with pytest.raises(TypeError):
+        CorpusOptions(exclude="/a")
+
+
+def test_hosts_are_judged_like_the_standard_library(spark):
+    hosts = ["[1:2]", "[::1]", "[:::::]", "[1::2::3]", "[1:2:3:4:5:6:7:8]", "[1:2:3:4:5:6:7::]", "[1:2:3:4:5:6:7:8:9]",
+             "[::1.2.3.4]", "[::1.2.3.256]", "[fe80::1%eth0]", "[v1.x]", "[1.2.3.4]", "[::]", "h.com", "h\u2100.com",
+             "h\uff0fx", "[12345::]", "u@[::1]:80", "[::1", "1:2]"]
+    def bad(h):
+        try:
+            urlsplit(f"http://{h}/")
+        except ValueError:
+            return True
+        return False
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select(
+        "h", urls.is_malformed(F.concat(F.lit("http://"), "h", F.lit("/"))).alias("bad")).collect()
+    assert {r.h: r.bad for r in rows} == {h: bad(h) for h in hosts}
+
+
+def test_markdown_keeps_the_text_of_bad_links(spark):
+    html = "<article>x <a href='//[bad/y'>TEXT</a> z <img src='//[bad/i' alt='ALT'></article>"
+    pages = spark.createDataFrame([(1, "https://h.com/p", html)], "page_id long, url string, html string")
+    row = to_markdown(pages).first()
+    assert row.markdown == "# Untitled\n\nx TEXT z ALT" and row.bad_link
+
+
+def test_one_page_of_shared_ids(spark):
+    rows = [(1, "a", "x"), (2, "a", "y"), (2, "b", "z"), (5, "c", "w"), (5, "c", "w"), (6, "d", "p"), (6, "d", "q"),
+            (None, "e", "n"), (None, "e", "n"), (7, None, "m")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [tuple(r) for r in links.one_page_per_url(pages).select("page_id", "url", "html").collect()]
+    assert len(got) == 6 and {(1, "a", "x"), (2, "b", "z"), (5, "c", "w"), (None, "e", "n"), (7, None, "m")} <= set(got)
+
+
+def test_long_chain_is_packed_seldom(spark, monkeypatch):
+    monkeypatch.setattr(frontier, "MAX_BROADCAST_SEEN", 0)
+    written = []
+    write = Buckets.write
+    monkeypatch.setattr(Buckets, "write", lambda self, df, *k, shuffle=True: written.append(shuffle) or write(self, df, *k, shuffle=shuffle))
+    table = spark.createDataFrame(
+        [(f"u{i}", [(f"u{i + 1}", "d", "s")]) for i in range(12)], LINKS)
+    seeds = spark.createDataFrame([("s", "u0")], "site string, url string")
+    got = frontier.breadth_first(seeds, table, scoped=False).collect()
+    assert {(r.url, r.depth) for r in got} == {(f"u{i}", i) for i in range(13)}
+    assert sum(written) <= 1 + 1 + 13
 
 
 def test_node_rows_form_a_tree(spark, folder):
