@@ -5,8 +5,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.options import BOILERPLATE_SELECTORS, CONTENT_SELECTORS
+
 DOCS = "https://docs.example.com/p/"
 
 LINK_GRAPH = f"""
@@ -37,6 +41,41 @@ select page_id, url, url as root_url, replace(html, '</nav>', concat(
 from {pages}
 """
 
+
+
+def matching_element(selector: str) -> tuple[str, str]:
+    """(tag, start tag) of an element that a simple selector matches."""
+    attribute = re.fullmatch(r"\[([\w-]+)='(.*)'\]", selector)
+    if attribute:
+        return "div", f'<div {attribute[1]}="{attribute[2]}">'
+    if selector[0] in ".#":
+        kind = {".": 'class="q {} r"', "#": 'id="{}"'}[selector[0]].format(selector[1:])
+        return "div", f"<div {kind}>"
+    return selector, f"<{selector}>"
+
+
+def by_page(selectors, text) -> str:
+    """SQL: a text for each page, from the selector that its number picks."""
+    cases = " ".join(f"when {i} then '{text(*matching_element(s))}'" for i, s in enumerate(selectors))
+    return f"case page_id % {len(selectors)} {cases} end"
+
+
+# Every page with one more boilerplate element at the end of its article, each selector in turn.
+BOILERPLATE_PAGES = f"""
+select page_id, url, {by_page(BOILERPLATE_SELECTORS, lambda tag, start: tag)} tag,
+  replace(html, '</article>', concat({by_page(
+    BOILERPLATE_SELECTORS, lambda tag, start: start + ('' if tag == 'input' else f'z</{tag}>'))}, '</article>')) html
+from {{pages}}
+"""
+
+# Every page with its article in an element of another content selector.
+CONTENT_PAGES = f"""
+select page_id, url, {by_page(CONTENT_SELECTORS, lambda tag, start: tag)} tag,
+  replace(replace(html, '<article>', {by_page(CONTENT_SELECTORS, lambda tag, start: start)}),
+    '</article>', {by_page(CONTENT_SELECTORS, lambda tag, start: f'</{tag}>')}) html
+from {{pages}}
+"""
+
 FETCH_ATTEMPTS = """
 select url, attempt,
  case page_id % 8 when 2 then 404 when 3 then case when attempt<2 then 500 else 200 end when 4 then 503

@@ -380,7 +380,7 @@ def dom_nodes(spark, folder):
 @query
 def boilerplate_nodes(spark, folder):
     hits = lambda n: dom.matches_any(n, DEFAULT.boilerplate)
-    return shred(spread_pages(spark, folder)).select(
+    return shred(spread(derived.derive(spark, folder, derived.BOILERPLATE_PAGES)).drop("tag")).select(
         "page_id", F.explode(F.filter(nodes(), hits)).alias("n")
     ).groupBy("page_id", F.col("n.tag").alias("tag")).agg(F.count("*").alias("n"))
 
@@ -414,7 +414,7 @@ def main_content(spark, folder):
         )
 
     pick = text.let(dom.kept_flags(nodes(), DEFAULT.boilerplate), chosen)
-    return shred(spread_pages(spark, folder)).select("page_id", pick.alias("c")).select("page_id", "c.*")
+    return shred(spread(derived.derive(spark, folder, derived.CONTENT_PAGES)).drop("tag")).select("page_id", pick.alias("c")).select("page_id", "c.*")
 
 
 @query
