@@ -34,8 +34,9 @@ def resolve_attempts(
     """``(url, outcome, attempt, *payload)``: the first decisive attempt per URL.
 
     URLs whose attempts are used up, or that were never decided, give 'none'.
-    One aggregation over short keys picks the attempt; the page itself is
-    fetched from the winning row only, so bodies of failed attempts never move.
+    A URL has one row for each attempt. What attempt 0 decides is final, so such rows, most of a
+    log, pass through with their pages where they are. One aggregation over short
+    keys picks the attempt of the others, and only the pages of their winning rows move.
     """
     label = attempt_label(mode)
     tried = F.col("attempt") < max_retries
@@ -50,10 +51,13 @@ def resolve_attempts(
     )
     if not payload:
         return verdict
-    ok_rows = attempts.filter(tried & (label == "ok")).select("url", "attempt", *payload)
+    at_once = attempts.filter(tried & (F.col("attempt") == 0) & (label != "retry")).select(
+        "url", label.alias("outcome"), "attempt", *[F.when(label == "ok", F.col(c)).alias(c) for c in payload]
+    )
+    ok_rows = attempts.filter(tried & (F.col("attempt") > 0) & (label == "ok")).select("url", "attempt", *payload)
     decided = F.when(F.col("outcome") == "ok", F.col("attempt"))
-    return (
-        verdict.withColumn("ok_attempt", decided).alias("v")
+    later = (
+        verdict.filter("attempt is null or attempt > 0").withColumn("ok_attempt", decided).alias("v")
         .join(
             ok_rows.alias("o"),
             (F.col("v.url") == F.col("o.url")) & (F.col("v.ok_attempt") == F.col("o.attempt")),
@@ -61,6 +65,7 @@ def resolve_attempts(
         )
         .select("v.url", "v.outcome", "v.attempt", *[f"o.{c}" for c in payload])
     )
+    return at_once.unionByName(later)
 
 
 def backoff_seconds(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
