@@ -7,8 +7,10 @@ at least ``min_words`` words each. Lines are judged on the input, not on what is
 
 1. Lines are reduced to hashes and grouped: each distinct content with its earliest place.
 2. An edit leaves the first or the last half of the shorter line as it is. Content whose
-   half keys no other content shares has no neighbour and goes no further.
-3. The rest emits its deletion neighbourhood: the hash of the line without its i-th word,
+   half keys no other content shares has no neighbour and goes no further. What is left is cut in segments of
+   some words, of which an edit touches one: a line goes on with the segments outside of which it
+   equals another line.
+3. There it emits its deletion neighbourhood: the hash of the line without its i-th word,
    once with the place i (a changed word gives equal variants at the same place) and once without
    (a line with one word more gives the whole of the other). Equal variants are joined with the
    earliest line of their key only: under these keys all members are neighbours of each other or of that line.
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagemill.session import stored
 
+SEGMENT = 8  # words
 LAST = (1 << 63) - 1  # stands for a null id: after all others
 
 
@@ -47,17 +50,17 @@ def _running(hashes: Column) -> Column:
 
 
 def _half_keys(words: Column, n: Column, min_words: int) -> Column:
-    """Keys for partners of the same or a larger length, and for those one word shorter."""
-    def keys(least: Column):
-        half = F.floor(least / 2).cast("int")
-        rest = least - half
-        return [F.xxhash64(F.lit("first"), least, F.concat_ws(" ", F.slice(words, F.lit(1), half))),
-                F.xxhash64(F.lit("last"), least, F.concat_ws(" ", F.slice(words, n - rest + 1, rest)))]
+    """Hashes of the halves that a partner of any length from n - 1 to n + 1 may share, with their lengths."""
+    def key(kind: str, size: Column):
+        run = F.slice(words, F.lit(1), size) if kind == "first" else F.slice(words, n - size + 1, size)
+        return F.xxhash64(F.lit(kind), size, F.concat_ws(" ", run))
+
+    def half(x: Column):
+        return F.floor(x / 2).cast("int")
 
-    none = F.array().cast("array<long>")
-    own = F.when(n >= min_words, F.array(*keys(n))).otherwise(none)
-    shorter = F.when(n - 1 >= min_words, F.array(*keys(n - 1))).otherwise(none)
-    return F.concat(own, shorter)
+    keys = F.array(key("first", half(n)), key("last", n - half(n)),
+                   key("first", half(n - 1)), key("last", n - 1 - half(n - 1)))
+    return F.when(n >= min_words, F.array_distinct(keys)).otherwise(F.array().cast("array<long>"))
 
 
 def _lines(rows: DataFrame, min_words: int) -> DataFrame:
@@ -70,33 +73,70 @@ def _lines(rows: DataFrame, min_words: int) -> DataFrame:
         _half_keys(F.col("words"), F.size("words"), min_words).alias("halves"))
 
 
-def _neighbours(rows: DataFrame, contents: DataFrame) -> DataFrame:
-    """h, g, near_at, near_line: the earliest verified neighbour of each content that has an earlier one."""
-    keyed = contents.where(F.size("halves") > 0).select("h", "g", F.explode("halves").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
-    wanted = keyed.join(shared, "key", "left_semi").select("h", "g").distinct()
-    spots = contents.join(wanted, ["h", "g"]).groupBy(F.col("first.at").alias("at"), F.col("first.of").alias("of")).agg(
+def _shared(keyed: DataFrame) -> DataFrame:
+    """Keys (column ``key``) that more than one content (column ``h``) has."""
+    return keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("key")
+
+
+def _segments(least: Column) -> Column:
+    """struct(j, begin, end) of about SEGMENT words each, of a line of ``least`` words."""
+    parts = F.greatest(F.floor(least / SEGMENT), F.lit(1)).cast("int")
+    edge = lambda j: F.floor(least * j / parts).cast("int")
+    return F.transform(F.sequence(F.lit(0), parts - 1),
+                       lambda j: F.struct(j.alias("j"), edge(j).alias("begin"), edge(j + 1).alias("end")))
+
+
+def _located(hashed: DataFrame, min_words: int) -> DataFrame:
+    """h, g, least, begin, end: where a line may differ from another one, by words from begin to end."""
+    def keys(least: Column):
+        return F.when(least >= min_words, F.transform(_segments(least), lambda s: F.struct(
+            least.alias("least"), s["begin"].alias("begin"), s["end"].alias("end"),
+            F.xxhash64(least, s["j"], F.element_at("before", s["begin"] + 1),
+                       F.element_at("tail", least - s["end"] + 1)).alias("key"))))
+
+    n = F.col("n")
+    found = F.concat(keys(n), F.coalesce(keys(n - 1), F.filter(keys(n), lambda _: F.lit(False))))
+    keyed = stored(hashed.select("h", "g", F.explode(found).alias("s")).select("h", "g", "s.*"), "segments")
+    return keyed.join(_shared(keyed), "key", "left_semi").select("h", "g", "least", "begin", "end")
+
+
+def _neighbours(rows: DataFrame, lines: DataFrame, contents: DataFrame, min_words: int) -> DataFrame:
+    """mh, mg, near_at, near_line: the earliest verified neighbour of each content that has an earlier one."""
+    keyed = lines.select("h", F.explode("halves").alias("key"))
+    wanted = keyed.join(_shared(keyed), "key", "left_semi").select("h").distinct()
+    spots = contents.join(wanted, "h", "left_semi").groupBy(
+        F.col("first.at").alias("at"), F.col("first.of").alias("of")).agg(
         F.collect_list(F.struct(F.col("first.line").alias("line"), "h", "g")).alias("spots"))
     texts = rows.join(spots, ["at", "of"]).select("at", "of", "text", F.explode("spots").alias("spot"))
     content = F.element_at(F.split("text", "\n"), F.col("spot.line") + 1)
     lines = stored(texts.select("at", "spot.line", "spot.h", "spot.g", _words(content).alias("words"))
                    .dropDuplicates(["h", "g"]), "lines")
 
+    from_end = F.transform(F.reverse("words"), lambda w, i: F.xxhash64(w, i.cast("int")))
     hashed = lines.select(
         "at", "line", "h", "g", F.size("words").alias("n"), _place_hashes(F.col("words")).alias("here"),
-        _running(_place_hashes(F.col("words"))).alias("before"),
+        _running(_place_hashes(F.col("words"))).alias("before"), _running(from_end).alias("tail"),
         _running(F.reverse(_place_hashes(F.col("words"), 1))).alias("after"))
     me = F.struct("at", "line", "h", "g")
-    whole = hashed.select(F.xxhash64(F.lit("w"), "n", F.element_at("before", -1)).alias("key"),
-                          F.lit("whole").alias("kind"), me.alias("me"), F.lit(-1).alias("i"))
-    variants = hashed.select(me.alias("me"), "n", F.element_at("before", -1).alias("all"),
-                             F.posexplode(F.arrays_zip(
-                                 "here", F.slice("before", F.lit(1), F.col("n")).alias("before"),
-                                 F.reverse(F.slice("after", F.lit(1), F.col("n"))).alias("after"))).alias("i", "x"))
-    changed = variants.select(F.xxhash64(F.lit("c"), "n", "i", F.col("all").bitwiseXOR(F.col("x.here"))).alias("key"),
-                              F.lit("changed").alias("kind"), "me", "i")
-    left_out = variants.select(
-        F.xxhash64(F.lit("w"), F.col("n") - 1, F.col("x.before").bitwiseXOR(F.col("x.after"))).alias("key"),
+    places = _located(hashed, min_words).groupBy("h", "g").agg(
+        F.collect_set(F.struct("least", "begin", "end")).alias("places"))
+    located = hashed.join(places, ["h", "g"])
+    whole = located.where(F.exists("places", lambda p: p["least"] == F.col("n"))).select(
+        F.xxhash64(F.lit("w"), "n", F.element_at("before", -1)).alias("key"),
+        F.lit("whole").alias("kind"), me.alias("me"), F.lit(-1).alias("i"))
+
+    def spread(least: Column):
+        own = F.filter("places", lambda p: p["least"] == least)
+        return F.explode(F.array_distinct(F.flatten(F.transform(
+            own, lambda p: F.sequence(p["begin"], F.least(p["end"], F.col("n") - 1)))))).alias("i")
+
+    all_words = F.element_at("before", -1)
+    changed = located.select(me.alias("me"), "n", "here", all_words.alias("all"), spread(F.col("n"))).select(
+        F.xxhash64(F.lit("c"), "n", "i", F.col("all").bitwiseXOR(F.get("here", F.col("i")))).alias("key"),
+        F.lit("changed").alias("kind"), "me", "i")
+    left_out = located.select(me.alias("me"), "n", "before", "after", spread(F.col("n") - 1)).select(
+        F.xxhash64(F.lit("w"), F.col("n") - 1, F.get("before", F.col("i")).bitwiseXOR(
+            F.get("after", F.col("n") - 1 - F.col("i")))).alias("key"),
         F.lit("left out").alias("kind"), "me", "i")
     emitted = stored(whole.unionByName(changed).unionByName(left_out), "variants")
     ranked = F.struct("me.at", "me.line", "me.h", "me.g", "i")
@@ -150,13 +190,14 @@ def with_counts(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """
     rows = docs.select(
         F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("at"),
-        F.xxhash64("text").alias("of"), F.col("text").cast("string").alias("text"))
-    narrow = rows.select("at", "of", "text")
+        F.xxhash64("text").alias("of"))
+    narrow = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("at"), F.xxhash64("text").alias("of"),
+        F.col("text").cast("string").alias("text"))
     lines = stored(_lines(narrow, min_words), "lines")
     contents = stored(lines.groupBy("h", "g").agg(
-        F.min(F.struct("at", "line", "of")).alias("first"), F.count(F.lit(1)).alias("n"),
-        F.first("halves").alias("halves")), "contents")
-    near = _neighbours(narrow, contents)
+        F.min(F.struct("at", "line", "of")).alias("first"), F.count(F.lit(1)).alias("n")), "contents")
+    near = _neighbours(narrow, lines, contents, min_words)
     joined = contents.join(near, (F.col("h") == F.col("mh")) & (F.col("g") == F.col("mg")), "left")
     limit = F.least(F.struct("first.at", "first.line"),
                     F.when(F.col("mh").isNotNull(),
@@ -170,10 +211,11 @@ def with_counts(docs: DataFrame, min_words: int = 8) -> DataFrame:
         .groupBy(F.col("at").alias("dat"), F.col("of").alias("dof")).agg(F.collect_set("line").alias("gone"))
     )
     told = rows.join(dropped, (F.col("at") == F.col("dat")) & (F.col("of") == F.col("dof")), "left")
-    split = F.split("text", "\n")
+    own = F.col("row.text").cast("string")
+    split = F.split(own, "\n")
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
+    text = F.when(F.col("gone").isNull() | own.isNull(), own).otherwise(kept)
     names = [F.col("row")[c].alias(c) if c != "text" else text.alias("text") for c in docs.columns]
     return told.select(
         F.struct(*names).alias("row"), F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"))
+        F.coalesce(F.when(own.isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"))
