@@ -66,7 +66,9 @@ def _half_keys(words: Column, n: Column, min_words: int) -> Column:
 def _lines(rows: DataFrame, min_words: int) -> DataFrame:
     """One row a line that is not blank: where it stands, two hashes of its content, its half keys."""
     lines = rows.select("at", "of", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    words = lines.select("at", "of", "line", _words(F.col("content")).alias("words")).where(F.size("words") > 0)
+    # Blank lines are told by their characters: a test of the words would cut every line twice.
+    full = lines.where(F.col("content").rlike(r"[^ \t\x0B\f\r]"))
+    words = full.select("at", "of", "line", _words(F.col("content")).alias("words"))
     norm = F.concat_ws(" ", "words")
     return words.select(
         "at", "of", "line", F.xxhash64(norm).alias("h"), F.xxhash64(F.lit(1), norm).alias("g"),
