@@ -113,8 +113,11 @@ def repeated_spans(docs: DataFrame, window: int = 50, k: int = 26) -> DataFrame:
     texts = rows.select("at", "text")
     nodes = stored(_nodes(texts, window, k), "nodes")
     shared = nodes.groupBy("node").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high")
-    nodes = stored(nodes.join(shared.select("node"), "node"), "shared-nodes")
-    edges = nodes.groupBy("node", "edge").agg(F.min("at").alias("first_at"))
+    # Written tables on the small side leave two plain exchanges below the joins, which Spark splits where one
+    # node, of a passage that many documents share, has a large part of all rows.
+    shared = stored(shared.select("node"), "repeated")
+    nodes = stored(nodes.join(shared, "node"), "shared-nodes")
+    edges = stored(nodes.groupBy("node", "edge").agg(F.min("at").alias("first_at")), "edges")
     branching = edges.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
     marked = nodes.join(edges, ["node", "edge"])
     later = marked.where(F.col("at") > F.col("first_at")).select(
