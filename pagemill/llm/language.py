@@ -7,7 +7,7 @@ gives each word's label probabilities; the language of a text is the label with
 the largest expected number of letters, and its score the share of these.
 
 The model is fitted on a bounded sample: at most ``docs_per_language`` labelled
-texts of each language, the ones with the smallest hash of their id, and of each a window of
+texts of each language, chosen by the hash of their id, and of each a window of
 ``window`` words at a place taken from that hash. Half of the training sequences
 join windows of two languages, which is what teaches the transitions. Prediction
 uses the whole text and nothing but the text.
@@ -27,6 +27,7 @@ from pagemill.llm.common import arrow_rows, doc_texts, filtered
 
 FEATURES = 1 << 16
 KEPT_WORDS = 300_000
+MAX_LANGUAGES = 300  # the model holds a weight for each pair of them
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _CHUNK = 64  # words in a block of the forward-backward pass
@@ -164,14 +165,22 @@ class Crf:
 
 
 def training_sample(labelled: DataFrame, docs_per_language: int, window: int) -> list[tuple[str, list[str]]]:
-    """(language, words) of a bounded sample: the rows of each language whose ids hash smallest.
+    """(language, words) of a bounded sample of each language, chosen by the hashes of the ids.
 
     The words are a window of the text at a place that the hash chooses.
     """
     keys = labelled.select("doc_id", F.col("lang").cast("string").alias("lang")).where("lang is not null")
     order = Window.partitionBy("lang").orderBy("order", "doc_id")
-    chosen = (  # ids and languages alone are ranked; the partial ranks of a partition cut its rows before the shuffle
-        keys.distinct().withColumn("order", F.xxhash64("doc_id"))
+    # Ids and languages alone are ranked, and of a large language only some times the rows wanted.
+    counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not counts:
+        return []
+    share = F.coalesce(*[F.when(F.col("lang") == r.lang, F.lit(8.0 * docs_per_language / r.rows)) for r in counts])
+    chosen = (
+        keys.withColumn("order", F.xxhash64("doc_id"))
+        .where(F.pmod("order", F.lit(1 << 20)) < share * (1 << 20)).distinct()
         .withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_per_language)
         .select(F.col("doc_id").alias("id"), F.col("lang").alias("of"), "order")
     )
