@@ -15,7 +15,7 @@ blocks that share a key:
 Within a block the bits are stored vertically, a plane for each bit position. The
 differences of up to 64 fingerprints in a machine word are added up at once in
 bitwise counters, three planes a step by carry-save addition, and a strip of
-comparisons is abandoned when all its counters have passed the radius. A block
+comparisons is abandoned when all its counters have passed the radius. Small blocks share the machine words. A block
 of more than ``CELL`` members is dealt out in cells of two parts each. A cell gives the
 links that join its classes, one a member at most, never all pairs.
 """
@@ -39,6 +39,9 @@ SEED = 42
 LAST = (1 << 63) - 1  # stands for a null id: after all others
 _STRIP = 256  # fingerprints compared with a whole cell at once
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SMALL = 64  # blocks of so many members are compared pair by pair, many blocks at once
+_PAIRS = 100_000  # at once
+_TRIANGLES = [np.triu_indices(n, 1) for n in range(_SMALL + 1)]
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -71,8 +74,8 @@ def band_keys(hashes: np.ndarray, bands: int) -> list[int]:
     if not bands or not len(hashes):
         return [0] * bands
     odd = mix64(np.arange(1, 2 * bands + 1, dtype=np.uint64)) | np.uint64(1)
-    scrambled = [mix64(hashes) * m for m in odd]
-    minima = np.array([s.min() for s in scrambled], np.uint64)
+    mixed = mix64(hashes)
+    minima = np.array([(mixed * m).min() for m in odd], np.uint64)
     keys = mix64(minima[0::2]) + minima[1::2] + np.arange(bands, dtype=np.uint64)
     return keys.view(np.int64).tolist()
 
@@ -109,12 +112,12 @@ def planes_of(values: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
 
 
-def near(strip: np.ndarray, planes: np.ndarray, members: int, radius: int) -> np.ndarray | None:
-    """Boolean (strip, members): at most ``radius`` differing bits. None if the strip was abandoned."""
-    n_bits, n_words = planes.shape
-    own = np.unpackbits(np.ascontiguousarray(strip.astype(">u8")).view(np.uint8).reshape(len(strip), -1), axis=1)
-    flips = np.where(own.astype(bool), _FULL, np.uint64(0))  # (strip, bits)
-    counters = [np.zeros((len(strip), n_words), np.uint64) for _ in range(int(n_bits).bit_length())]
+def _counted(plane, n_bits: int, shape: tuple[int, int], radius: int, valid: np.ndarray) -> np.ndarray | None:
+    """Lanes (bits of machine words of ``shape``) with at most ``radius`` ones over all planes; None if abandoned.
+
+    ``plane(b)`` gives the differences at bit b; ``valid`` masks the lanes in use.
+    """
+    counters = [np.zeros(shape, np.uint64) for _ in range(int(n_bits).bit_length())]
 
     def add(carry: np.ndarray, at: int) -> None:
         for c in counters[at:]:
@@ -129,13 +132,10 @@ def near(strip: np.ndarray, planes: np.ndarray, members: int, radius: int) -> np
                 equal &= counters[at]
             else:
                 equal &= ~counters[at]
-        return less | equal
+        return (less | equal) & valid
 
-    padding = np.full(n_words, _FULL)
-    if members % 64:
-        padding[-1] = np.uint64((1 << members % 64) - 1)
     for b in range(0, n_bits, 3):
-        group = [planes[i][None, :] ^ flips[:, i, None] for i in range(b, min(b + 3, n_bits))]
+        group = [plane(i) for i in range(b, min(b + 3, n_bits))]
         if len(group) == 3:
             x, y, z = group
             both = x ^ y
@@ -144,10 +144,66 @@ def near(strip: np.ndarray, planes: np.ndarray, members: int, radius: int) -> np
         else:
             for x in group:
                 add(x, 0)
-        if b % 12 == 9 and b > radius and not (within() & padding).any():
+        if b % 12 == 9 and b > radius and not within().any():
             return None
-    lanes = within() & padding
-    return np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little")[:, :members].astype(bool)
+    return within()
+
+
+def _valid(members: int, n_words: int) -> np.ndarray:
+    mask = np.full(n_words, _FULL)
+    if members % 64:
+        mask[-1] = np.uint64((1 << members % 64) - 1)
+    return mask
+
+
+def _lanes(words: np.ndarray, members: int) -> np.ndarray:
+    return np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, :members].astype(bool)
+
+
+def near(strip: np.ndarray, planes: np.ndarray, members: int, radius: int) -> np.ndarray | None:
+    """Boolean (strip, members): at most ``radius`` differing bits. None if the strip was abandoned."""
+    n_bits, n_words = planes.shape
+    own = np.unpackbits(np.ascontiguousarray(strip.astype(">u8")).view(np.uint8).reshape(len(strip), -1), axis=1)
+    flips = np.where(own.astype(bool), _FULL, np.uint64(0))  # (strip, bits)
+    found = _counted(lambda i: planes[i][None, :] ^ flips[:, i, None], n_bits, (len(strip), n_words), radius,
+                     _valid(members, n_words))
+    return None if found is None else _lanes(found, members)
+
+
+def near_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    """Boolean for each row: the two fingerprints differ in at most ``radius`` bits. A pair is a lane."""
+    planes = planes_of(left) ^ planes_of(right)
+    found = _counted(lambda i: planes[i][None, :], len(planes), (1, planes.shape[1]), radius,
+                     _valid(len(left), planes.shape[1]))
+    return np.zeros(len(left), bool) if found is None else _lanes(found, len(left))[0]
+
+
+def small_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int) -> tuple[list, list]:
+    """Forests of many small blocks at once, as row numbers; their pairs fill the lanes together."""
+    a_out, b_out, label = [], [], {}
+
+    def root(i: int) -> int:
+        while (j := label.get(i, i)) != i:
+            label[i] = label.get(j, j)
+            i = j
+        return i
+
+    sizes = ends - starts
+    pairs = np.cumsum(sizes * (sizes - 1) // 2)
+    begin = 0
+    while begin < len(starts):
+        end = max(begin + 1, int(np.searchsorted(pairs, (pairs[begin - 1] if begin else 0) + _PAIRS, side="right")))
+        triangles = [_TRIANGLES[n] for n in sizes[begin:end].tolist()]
+        shift = np.repeat(starts[begin:end], [len(t[0]) for t in triangles])
+        i, j = (np.concatenate([t[k] for t in triangles]) + shift for k in (0, 1))
+        hit = near_pairs(values[i], values[j], radius)
+        for x, y in zip(i[hit].tolist(), j[hit].tolist()):
+            if (p := root(x)) != (q := root(y)):
+                label[max(p, q)] = min(p, q)
+                a_out.append(x)
+                b_out.append(y)
+        begin = end
+    return a_out, b_out
 
 
 def cell_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,8 +269,16 @@ def _linked(radius: int):
         cell = rows[["key", "cell"]].to_numpy()[:end]
         cuts = np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [end]])
-        a_out, b_out = [], []
-        for s in np.flatnonzero(ends - starts > 1):
+        sizes = ends - starts
+        if not (sizes > 1).any():
+            return
+        ids, side = rows["id"].to_numpy(), rows["side"].to_numpy()
+        crossed = np.add.reduceat(side[:end], starts) > 0
+        values = np.frombuffer(b"".join(rows["fp"][:end]), ">u8").astype(np.uint64).reshape(end, -1)
+        small = np.flatnonzero((sizes > 1) & (sizes <= _SMALL) & ~crossed)
+        a, b = small_links(values, starts[small], ends[small], radius)
+        a_out, b_out = [ids[a]] if a else [], [ids[b]] if b else []
+        for s in np.flatnonzero((sizes > 1) & ((sizes > _SMALL) | crossed)):
             a, b = links_of(rows.iloc[starts[s]:ends[s]])
             a_out.append(a)
             b_out.append(b)

@@ -93,3 +93,18 @@ def test_bitwise_counters():
     assert (hit == (plain <= 100)).all()
     far = np.full((3, 1), (1 << 64) - 1, np.uint64)
     assert simhash.near(far, simhash.planes_of(np.zeros((5, 1), np.uint64)), 5, 2) is None
+
+
+def test_small_blocks_share_words():
+    random = np.random.default_rng(5)
+    values = random.integers(0, 1 << 62, (500, 4), dtype=np.uint64)
+    sizes = [2, 3, 64, 2, 40, 9, 64, 64, 64, 64, 64, 60]
+    ends = np.cumsum(sizes)
+    for i in range(0, 490, 3):
+        values[i + 1] = values[i] ^ np.uint64(1 << (i % 60))
+    a, b = simhash.small_links(values, ends - sizes, ends, 3)
+    links = set(zip(a, b))
+    block = np.repeat(np.arange(len(sizes)), sizes)
+    near = {(i, j) for i in range(500) for j in range(i + 1, 500) if block[i] == block[j]
+            and sum(int(x ^ y).bit_count() for x, y in zip(values[i], values[j])) <= 3}
+    assert links <= near and len(links) == len({x for p in near for x in p}) - len({min(p) for p in near})
