@@ -94,6 +94,25 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, bands: int = 0
         lambda b: arrow_rows(b, schema, run), "doc_id long, of long, fp binary, keys array<long>")
 
 
+def shingle_sets(docs: DataFrame, width: int, words: int, bands: int) -> DataFrame:
+    """doc_id, of (hash of the text), id (hash of the set), fp, keys of every whole text.
+
+    All but the first two depend on the set of shingles alone, however often one repeats.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("id", pa.int64()), ("fp", pa.binary()),
+                        ("keys", pa.list_(pa.int64()))])
+
+    def run(doc_id, text, of):
+        sets = [np.unique(shingle_hashes(t or "", width)) for t in text]
+        ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        return doc_id, of, ids, [fingerprint(s, words) for s in sets], [band_keys(s, bands) for s in sets]
+
+    of = F.xxhash64(F.col("text").cast("string")).alias("of")
+    return doc_texts(docs, of).mapInArrow(
+        lambda b: arrow_rows(b, schema, run),
+        "doc_id long, of long, id long, fp binary, keys array<long>")
+
+
 def piece_keys(radius: int):
     """A column of block keys of a 64-bit fingerprint in the column ``bits``."""
     edges = np.linspace(0, 64, radius + 3).astype(int)
@@ -344,12 +363,16 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = 50, words: int = 4,
 
     With 256 bits, texts whose shingle sets have a similarity of 0.8 differ in 39 bits on average, with
     a standard deviation of 6; a radius of 50 links 97 in 100 of them and nearly all more similar ones, and
-    very few below 0.6. Null ids come after all others. Columns of any name may be there.
+    very few below 0.6. Fingerprints are of the distinct shingles; texts of equal sets are one class.
+    Null ids come after all others. Columns of any name may be there.
     """
-    marked, lows = _classes(docs, width, radius, words, bands)
+    marked = stored(shingle_sets(docs, width, words, bands), "fingerprints")
+    distinct = marked.select("id", "fp", "keys").dropDuplicates(["id"])
+    linked = components(fingerprint_links(distinct, radius))
     at = F.coalesce(F.col("doc_id"), F.lit(LAST))
     first = marked.groupBy("id").agg(F.min(F.struct(at.alias("at"), "of")).alias("first"))
-    chosen = first.join(lows.select("id", "component"), "id").groupBy("component").agg(F.min("first").alias("first"))
+    chosen = first.join(linked, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(
+        F.min("first").alias("first"))
     chosen = chosen.select(F.col("first.at").alias("kept_at"), F.col("first.of").alias("kept_of"))
     rows = docs.select(F.struct("*").alias("row")).select(
         "row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST)).alias("at"),

@@ -108,3 +108,29 @@ def test_small_blocks_share_words():
     near = {(i, j) for i in range(500) for j in range(i + 1, 500) if block[i] == block[j]
             and sum(int(x ^ y).bit_count() for x, y in zip(values[i], values[j])) <= 3}
     assert links <= near and len(links) == len({x for p in near for x in p}) - len({min(p) for p in near})
+
+
+def plain_kept(rows, width=5, similarity=0.8):
+    """doc_ids kept, by the Jaccard similarity of all pairs."""
+    def grams(text):
+        w = text.lower().split()
+        return {tuple(w[i:i + width]) for i in range(len(w) - width + 1)} or {tuple(w)}
+
+    sets = [grams(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-12:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    return sorted(min(d for (d, _), g in zip(rows, group) if g == n) for n in set(group))
+
+
+def test_keep_one_with_a_dominant_shingle(spark):
+    """A filler that makes up most of the shingles does not make texts alike, and copies of a text with more of it go."""
+    rand = random.Random(12)
+    other = [" ".join(f"w{rand.randrange(10 ** 6)}" for _ in range(60)) for _ in range(20)]
+    texts = [". " * 200 + o for o in other] + [". " * 300 + o for o in other[:10]]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == plain_kept(rows) == list(range(20))
