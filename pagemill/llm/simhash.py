@@ -94,25 +94,6 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, bands: int = 0
         lambda b: arrow_rows(b, schema, run), "doc_id long, of long, fp binary, keys array<long>")
 
 
-def shingle_sets(docs: DataFrame, width: int, words: int, bands: int) -> DataFrame:
-    """doc_id, of (hash of the text), id (hash of the set), fp, keys of every whole text.
-
-    All but the first two depend on the set of shingles alone, however often one repeats.
-    """
-    schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("id", pa.int64()), ("fp", pa.binary()),
-                        ("keys", pa.list_(pa.int64()))])
-
-    def run(doc_id, text, of):
-        sets = [np.unique(shingle_hashes(t or "", width)) for t in text]
-        ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        return doc_id, of, ids, [fingerprint(s, words) for s in sets], [band_keys(s, bands) for s in sets]
-
-    of = F.xxhash64(F.col("text").cast("string")).alias("of")
-    return doc_texts(docs, of).mapInArrow(
-        lambda b: arrow_rows(b, schema, run),
-        "doc_id long, of long, id long, fp binary, keys array<long>")
-
-
 def piece_keys(radius: int):
     """A column of block keys of a 64-bit fingerprint in the column ``bits``."""
     edges = np.linspace(0, 64, radius + 3).astype(int)
@@ -197,8 +178,12 @@ def near_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
     return np.zeros(len(left), bool) if found is None else _lanes(found, len(left))[0]
 
 
-def small_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int) -> tuple[list, list]:
-    """Forests of many small blocks at once, as row numbers; their pairs fill the lanes together."""
+def small_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: int,
+                names: np.ndarray | None = None, every: bool = False) -> tuple[list, list]:
+    """Forests of many small blocks at once, as row numbers; their pairs fill the lanes together.
+
+    Rows of one name count as joined; ``every`` gives all pairs of two names.
+    """
     a_out, b_out, label = [], [], {}
 
     def root(i: int) -> int:
@@ -215,9 +200,19 @@ def small_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius
         triangles = [_TRIANGLES[n] for n in sizes[begin:end].tolist()]
         shift = np.repeat(starts[begin:end], [len(t[0]) for t in triangles])
         i, j = (np.concatenate([t[k] for t in triangles]) + shift for k in (0, 1))
-        hit = near_pairs(values[i], values[j], radius)
-        for x, y in zip(i[hit].tolist(), j[hit].tolist()):
-            if (p := root(x)) != (q := root(y)):
+        if names is not None:
+            apart = names[i] != names[j]
+            i, j = i[apart], j[apart]
+        hit = near_pairs(values[i], values[j], radius) if len(i) else np.zeros(0, bool)
+        x_all, y_all = i[hit].tolist(), j[hit].tolist()
+        if every:
+            a_out += x_all
+            b_out += y_all
+            begin = end
+            continue
+        of = (lambda rows: rows) if names is None else (lambda rows: names[rows].tolist())
+        for x, y, p, q in zip(x_all, y_all, of(x_all), of(y_all)):
+            if (p := root(p)) != (q := root(q)):
                 label[max(p, q)] = min(p, q)
                 a_out.append(x)
                 b_out.append(y)
@@ -225,13 +220,17 @@ def small_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius
     return a_out, b_out
 
 
-def cell_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of a forest that joins whatever lies within the radius, left to right or inside left."""
+def cell_links(left: np.ndarray, right: np.ndarray | None, radius: int, names: np.ndarray | None = None,
+               every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of a forest that joins whatever lies within the radius, left to right or inside left.
+
+    ``names`` and ``every`` as in ``small_links``.
+    """
     values = left if right is None else np.concatenate([left, right])
     others = values if right is None else right
     base = 0 if right is None else len(left)
     planes = planes_of(others)
-    label = np.arange(len(values))
+    label = np.arange(len(values)) if names is None else np.unique(names, return_inverse=True)[1]
     a_out, b_out = [], []
     for at in range(0, len(left), _STRIP):
         hit = near(left[at:at + _STRIP], planes, len(others), radius)
@@ -241,7 +240,11 @@ def cell_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
             found = np.flatnonzero(hit[row]) + base
             me = at + row
             strange = found[label[found] != label[me]]
-            if len(strange):  # one link for each class that is new to this row
+            if every:
+                strange = strange[strange > me]
+                a_out += [me] * len(strange)
+                b_out += strange.tolist()
+            elif len(strange):  # one link for each class that is new to this row
                 classes, first = np.unique(label[strange], return_index=True)
                 a_out += [me] * len(classes)
                 b_out += strange[first].tolist()
@@ -249,18 +252,19 @@ def cell_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
     return np.array(a_out, np.int64), np.array(b_out, np.int64)
 
 
-def _linked(radius: int):
-    """Sorted rows (key, cell, side, id, fp) -> links (a, b); rows of one cell lie together."""
+def _linked(radius: int, every: bool = False):
+    """Sorted rows (key, cell, side, id, fp, label if known) -> links (a, b); rows of one cell lie together."""
 
     def links_of(rows: pd.DataFrame):
         values = np.frombuffer(b"".join(rows["fp"]), ">u8").astype(np.uint64).reshape(len(rows), -1)
         ids, side = rows["id"].to_numpy(), rows["side"].to_numpy()
+        names = rows["label"].to_numpy() if "label" in rows else None
         if (side == 1).any():
             order = np.argsort(side, kind="stable")
             values, ids, n = values[order], ids[order], int((side == 0).sum())
-            a, b = cell_links(values[:n], values[n:], radius)
+            a, b = cell_links(values[:n], values[n:], radius, None if names is None else names[order], every)
         else:
-            a, b = cell_links(values, None, radius)
+            a, b = cell_links(values, None, radius, names, every)
         return ids[a], ids[b]
 
     def run(frames):
@@ -295,7 +299,8 @@ def _linked(radius: int):
         crossed = np.add.reduceat(side[:end], starts) > 0
         values = np.frombuffer(b"".join(rows["fp"][:end]), ">u8").astype(np.uint64).reshape(end, -1)
         small = np.flatnonzero((sizes > 1) & (sizes <= _SMALL) & ~crossed)
-        a, b = small_links(values, starts[small], ends[small], radius)
+        names = rows["label"].to_numpy() if "label" in rows else None
+        a, b = small_links(values, starts[small], ends[small], radius, names, every)
         a_out, b_out = [ids[a]] if a else [], [ids[b]] if b else []
         for s in np.flatnonzero((sizes > 1) & ((sizes > _SMALL) | crossed)):
             a, b = links_of(rows.iloc[starts[s]:ends[s]])
@@ -307,9 +312,17 @@ def _linked(radius: int):
     return run
 
 
-def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) that join all of ``distinct`` (id, fp, keys) within the radius and a common block."""
-    rows = distinct.select(F.explode(F.array_distinct("keys")).alias("key"), "id", "fp")
+def fingerprint_links(distinct: DataFrame, radius: int, every: bool = False, turn: int = 0) -> DataFrame:
+    """Links (a, b) that join all of ``distinct`` (id, fp, keys) within the radius and a common block.
+
+    With a column ``label``, ids of one label count as joined; ``every`` gives each pair of two labels, not a forest.
+    Forests of another ``turn`` prefer other members.
+    """
+    label = [c for c in distinct.columns if c == "label"]
+    rows = distinct.select(F.explode(F.array_distinct("keys")).alias("key"), "id", "fp", *label)
+    if label:
+        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        rows = rows.join(mixed.select("key"), "key", "left_semi")
     large = rows.groupBy("key").count().where(F.col("count") > CELL).select(
         "key", F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
     parts = F.coalesce("parts", F.lit(1))
@@ -317,13 +330,79 @@ def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
     # cell (i, j) with i <= j compares part i with part j; a member of part p goes to every cell with p
     spread = (
         rows.join(large, "key", "left").withColumn("parts", parts).withColumn("own", own)
-        .select("key", "id", "fp", "parts", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-        .select("key", "id", "fp", (F.least("own", "with") * F.col("parts") + F.greatest("own", "with")).alias("cell"),
+        .select("key", "id", "fp", *label, "parts", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+        .select("key", "id", "fp", *label, (F.least("own", "with") * F.col("parts") + F.greatest("own", "with")).alias("cell"),
                 (F.col("own") > F.col("with")).cast("int").alias("side"))
     )
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = spread.repartition(n, "key", "cell").sortWithinPartitions("key", "cell")
-    return laid.mapInPandas(_linked(radius), "a long, b long")
+    laid = spread.repartition(n, "key", "cell").sortWithinPartitions("key", "cell", F.xxhash64("id", F.lit(turn)), "id")
+    return laid.mapInPandas(_linked(radius, every), "a long, b long")
+
+
+def set_marks(docs: DataFrame, width: int, words: int, bands: int) -> DataFrame:
+    """doc_id, of (hash of the text), id (hash of the set), fp, keys of every whole text.
+
+    All but the first two depend on the set of shingles alone, however often one repeats.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("of", pa.int64()), ("id", pa.int64()), ("fp", pa.binary()),
+                        ("keys", pa.list_(pa.int64()))])
+
+    def run(doc_id, text, of):
+        sets = [np.unique(shingle_hashes(t or "", width)) for t in text]
+        ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        return doc_id, of, ids, [fingerprint(s, words) for s in sets], [band_keys(s, bands) for s in sets]
+
+    of = F.xxhash64(F.col("text").cast("string")).alias("of")
+    return doc_texts(docs, of).mapInArrow(
+        lambda b: arrow_rows(b, schema, run), "doc_id long, of long, id long, fp binary, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, owners: DataFrame, width: int) -> DataFrame:
+    """id, shingles (distinct) of the texts that ``owners`` (id, at, of) name; other texts are not cut again."""
+    schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def run(ids, text):
+        return ids, [np.unique(shingle_hashes(t or "", width)).view(np.int64) for t in text]
+
+    rows = doc_texts(docs, F.xxhash64(F.col("text").cast("string")).alias("of")).select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("at"), "of", "text")
+    named = rows.join(owners, ["at", "of"]).select("id", "text").dropDuplicates(["id"])
+    return named.mapInArrow(lambda b: arrow_rows(b, schema, run), "id long, shingles array<long>")
+
+
+def similar_pairs(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose sets (id, shingles) share at least ``similarity`` of what either holds."""
+    a, b = (sets.select(F.col("id").alias(n), F.col("shingles").alias(f"of_{n}")) for n in "ab")
+    shared, both = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
+    return links.join(b, "b").join(a, "a").where(
+        shared * F.lit(1 + similarity) >= both * F.lit(similarity) - F.lit(1e-6)).select("a", "b")
+
+
+def similar_components(docs: DataFrame, distinct: DataFrame, width: int, radius: int, similarity: float) -> DataFrame:
+    """id, component of all ids that pairs of ``similarity`` reach; pairs within the radius and a block are tried.
+
+    distinct: id, fp, keys and at, of of a text. First forests of candidates are verified, so a large class is found by a link a
+    member, and new forests join what is left apart as long as half of their links hold. Then every candidate pair
+    of two components is verified.
+    """
+    links = stored(fingerprint_links(distinct.select("id", "fp", "keys"), radius).distinct(), "candidates")
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()  # all that have a candidate at all
+    open_ids = stored(distinct.join(ends, "id", "left_semi"), "candidate-ids")
+    sets = stored(shingle_sets(docs, open_ids.select("id", "at", "of"), width), "candidate-sets")
+    found, turn, every = None, 0, False
+    while True:
+        good = stored(similar_pairs(links, sets, similarity), "verified")
+        found = good if found is None else found.union(good)
+        linked = components(found)
+        if every:
+            return linked
+        tried, held, turn = links.count(), good.count(), turn + 1
+        every = 2 * held < tried
+        named = open_ids.join(linked, "id", "left").select(
+            "id", "fp", "keys", F.coalesce("component", "id").alias("label"))
+        links = stored(fingerprint_links(named, radius, every, turn).distinct(), "candidates")
+        if not every and links.isEmpty():
+            return linked
 
 
 def _classes(docs: DataFrame, width: int, radius: int, words: int, bands: int) -> tuple[DataFrame, DataFrame]:
@@ -358,20 +437,23 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, words: int
     return marked.join(answer, "id").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 50, words: int = 4, bands: int = 16) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 80, words: int = 4, bands: int = 16,
+             similarity: float = 0.8) -> DataFrame:
     """One row of each class of near-duplicates, all columns: the smallest doc_id, of equal ids one text.
 
-    With 256 bits, texts whose shingle sets have a similarity of 0.8 differ in 39 bits on average, with
-    a standard deviation of 6; a radius of 50 links 97 in 100 of them and nearly all more similar ones, and
-    very few below 0.6. Fingerprints are of the distinct shingles; texts of equal sets are one class.
-    Null ids come after all others. Columns of any name may be there.
+    A class is what pairs of texts reach whose sets of shingles have a Jaccard similarity of ``similarity`` or more,
+    counted exactly. Fingerprints only say which pairs are counted. With 256 bits, sets of a similarity of
+    0.8 differ in 39 bits on average, with a standard deviation of 6; in 48 if they have but 4 and 5 shingles.
+    Texts of equal sets are one class. Null ids come after all others. Columns of any name may be there.
     """
-    marked = stored(shingle_sets(docs, width, words, bands), "fingerprints")
-    distinct = marked.select("id", "fp", "keys").dropDuplicates(["id"])
-    linked = components(fingerprint_links(distinct, radius))
+    marked = set_marks(docs, width, words, bands)
     at = F.coalesce(F.col("doc_id"), F.lit(LAST))
-    first = marked.groupBy("id").agg(F.min(F.struct(at.alias("at"), "of")).alias("first"))
-    chosen = first.join(linked, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(
+    first = stored(marked.groupBy("id").agg(
+        F.min(F.struct(at.alias("at"), "of")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")),
+        "fingerprints")
+    distinct = first.select("id", "fp", "keys", "first.at", "first.of")
+    linked = similar_components(docs, distinct, width, radius, similarity)
+    chosen = first.select("id", "first").join(linked, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(
         F.min("first").alias("first"))
     chosen = chosen.select(F.col("first.at").alias("kept_at"), F.col("first.of").alias("kept_of"))
     rows = docs.select(F.struct("*").alias("row")).select(
