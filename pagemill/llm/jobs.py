@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import decontaminate, language, lines, secrets, sentencepieces, simhash, spans, suffixes, topk, urlfilter
+from pagemill.llm import decontaminate, language, lines, minhash, secrets, sentencepieces, simhash, spans, suffixes, topk, urlfilter
 from pagemill.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -84,6 +84,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=5, threshold=0.85)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
@@ -95,4 +99,5 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
+    "op11_minhash": op11_minhash,
 }
