@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import decontaminate, language, lines, minhash, secrets, sentencepieces, simhash, spans, suffixes, topk, urlfilter
+from pagemill.llm import decontaminate, language, lines, minhash, negatives, secrets, sentencepieces, simhash, spans, suffixes, topk, urlfilter
 from pagemill.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -88,6 +88,10 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=5, threshold=0.85)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"), anchor_every=100, positives=5, negatives=5, scale=256.0)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
@@ -100,4 +104,5 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
     "op11_minhash": op11_minhash,
+    "op12_hard_negatives": op12_hard_negatives,
 }
