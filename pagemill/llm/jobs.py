@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemill.llm import decontaminate, language, lines, minhash, negatives, secrets, sentencepieces, simhash, spans, suffixes, topk, urlfilter
+from pagemill.llm import decontaminate, language, lines, minhash, negatives, resample, secrets, sentencepieces, simhash, spans, suffixes, topk, urlfilter
 from pagemill.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -92,6 +92,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"), anchor_every=100, positives=5, negatives=5, scale=256.0)
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=0.25,
+                             order=2, buckets=10000, seed=7, least_words=20)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
@@ -105,4 +110,5 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
     "op11_minhash": op11_minhash,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_resample": op13_resample,
 }
