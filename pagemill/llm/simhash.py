@@ -437,6 +437,27 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, words: int
     return marked.join(answer, "id").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each group that ``near_duplicates`` finds, all columns: the group's smallest doc_id.
+
+    Groups are those of ``near_duplicates`` with the same width and radius (64-bit fingerprints, every link
+    within ``radius`` bits). Of rows of one id, the text of smallest hash stays; rows that repeat exactly stay
+    once. Null ids come after all others, so a group of null ids alone keeps one of them. Null, empty and blank
+    texts have fingerprint zero and group like any other. Columns of any name may be there; an empty table
+    gives an empty table.
+    """
+    marked, lows = _classes(docs, width, radius, 1, 0)
+    at = F.coalesce(F.col("doc_id"), F.lit(LAST))
+    first = (marked.join(lows.select("id", "component"), "id")
+             .groupBy("component").agg(F.min(F.struct(at.alias("at"), "of")).alias("first")))
+    chosen = first.select(F.col("first.at").alias("kept_at"), F.col("first.of").alias("kept_of"))
+    rows = docs.select(F.struct("*").alias("row")).select(
+        "row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST)).alias("at"),
+        F.xxhash64(F.col("row.text").cast("string")).alias("of"))
+    kept = rows.join(chosen, (F.col("at") == F.col("kept_at")) & (F.col("of") == F.col("kept_of")), "left_semi")
+    return kept.dropDuplicates(["at", "of"]).select("row.*")
+
+
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 80, words: int = 4, bands: int = 16,
              similarity: float = 0.8) -> DataFrame:
     """One row of each class of near-duplicates, all columns: the smallest doc_id, of equal ids one text.

@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from pagemill.llm import decontaminate, lines, simhash, topk
+from tests.llm.test_simhash import plain_fingerprint
 from pagemill.llm.jobs import language_model
 from pagemill.llm.sentencepieces import encoder
 from pagemill.llm.jobs import PIECES
@@ -159,16 +160,23 @@ def test_pipeline_stages(spark, folder):
     assert rows(two) == sorted(left) and two.columns == columns
     assert all(r.n_chars == len(r.text) for r in two.collect() if r.text != dict(rows(docs))[r.doc_id])
     three = stages["near_dedup"](spark, two, folder)
-    kept = []
-    data = [(d, t, simhash.shingle_hashes(t, 5)) for d, t in rows(two)]
-    marks = [(int.from_bytes(simhash.fingerprint(h, 4)), set(simhash.band_keys(h, 16))) for _, _, h in data]
+    data = rows(two)  # op7's rule by brute force: three-word shingles, fingerprints within two bits
+    marks = [plain_fingerprint(t) for _, t in data]
     group = list(range(len(data)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
     for i in range(len(data)):
         for j in range(i):
-            if (marks[i][0] ^ marks[j][0]).bit_count() <= 50 and marks[i][1] & marks[j][1]:
-                a, b = group[i], group[j]
-                group = [min(a, b) if g in (a, b) else g for g in group]
-    kept = [(d, t) for n, (d, t, _) in enumerate(data) if group[n] == n]
+            if (marks[i] ^ marks[j]).bit_count() <= 2:
+                group[root(i)] = root(j)
+    low = {}
+    for i, (d, _) in enumerate(data):
+        low[root(i)] = min(low.get(root(i), d), d)
+    kept = sorted({(d, t) for i, (d, t) in enumerate(data) if d == low[root(i)]})
     assert rows(three) == kept and three.columns == columns
     four = stages["decontamination"](spark, three, folder)
     bench = [r.text.lower().split() for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
