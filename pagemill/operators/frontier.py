@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pagemill.functions.gate import in_scope
+from pagemill.operators.sites import site_reject_reason, within_depth
 from pagemill.options import CorpusOptions
 from pagemill.session import Buckets
 
@@ -17,6 +18,7 @@ def breadth_first(
     links: DataFrame,
     options: CorpusOptions | None = None,
     scoped: bool = True,
+    sites: DataFrame | None = None,
 ) -> DataFrame:
     """``(site, url, depth, parent_url[, domain, subdomain])``: minimum depth, smallest parent.
 
@@ -25,6 +27,10 @@ def breadth_first(
     array<struct<url, domain, subdomain>>; hand in a stored table. With ``scoped=False`` (or include
     patterns) links are not tested against the site's domain.
 
+    ``sites`` (the options table of ``operators.sites``) gives every site its own rules: each level's
+    links meet their site's row in a join and pass its depth limit, scope, extensions, exclude and
+    include patterns; ``options`` then only says nothing. Seeds need domain and subdomain for it.
+
     Per level one job writes the new frontier. The link table is bucketed by
     url once and, past a small number of seen URLs, every frontier by (site,
     url), so a level shuffles the last frontier and its links but not the
@@ -50,7 +56,13 @@ def breadth_first(
             out = buckets.rows(level).join(buckets.rows(link_table), "url").select(
                 "site", *scope, F.col("url").alias("parent_url"), F.explode("links").alias("link")
             )
-            if scoped:
+            if sites is not None:
+                rules = sites.select("site", F.struct(*[c for c in sites.columns if c != "site"]).alias("rules"))
+                out = out.join(rules, "site").filter(
+                    within_depth(F.lit(depth), F.col("rules"))
+                    & site_reject_reason(F.col("link.url"), F.col("link"), F.struct(*scope), F.col("rules")).isNull()
+                ).drop("rules")
+            elif scoped:
                 out = out.filter(
                     in_scope(F.col("link"), F.struct(*scope), options.stay_on_subdomain)
                 )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from pagemill.functions import dom, gate, markdown, text, urls
 from pagemill.functions.domains import domain_of_host, host_name, load_rules
-from pagemill.operators import frontier, links, merge, status
+from pagemill.operators import frontier, links, merge, sites, status
 from pagemill.options import CorpusOptions
 from pagemill.plans import derived
 from pagemill.plans.convert import page_facts, to_markdown
@@ -327,6 +327,27 @@ def bfs_frontier(spark, folder):
     return frontier.breadth_first(graph_seed(spark), graph_links(spark, folder), scoped=False)
 
 
+# Two sites in one run, each with its own depth, patterns and merged name.
+SITE_RUN = (
+    ("docs", derived.DOCS + "0", CorpusOptions(max_depth=6, exclude=[r"/p/\d*7$"], merged_name="all-docs.md")),
+    ("evens", derived.DOCS + "1", CorpusOptions(include=[r"/p/\d*[02468]$"], stay_on_subdomain=False)),
+)
+
+
+def site_seeds(spark, table: DataFrame) -> DataFrame:
+    place = domain_of_host(host_name(F.col("root")), scope_rules(spark))
+    return table.select("site", F.col("root").alias("url"), place["domain"].alias("domain"),
+                        place["subdomain"].alias("subdomain"))
+
+
+@query
+def site_frontier(spark, folder):
+    table = sites.site_table(spark, SITE_RUN)
+    reached = frontier.breadth_first(site_seeds(spark, table), graph_links(spark, folder), sites=table)
+    named = table.select("site", F.coalesce("merged_name", urls.merged_filename("root")).alias("merged_filename"))
+    return reached.join(named, "site").select("site", "url", "depth", "parent_url", "merged_filename")
+
+
 @query
 def bfs_depth_cap(spark, folder):
     return frontier.breadth_first(
