@@ -8,11 +8,12 @@ weight is the floored mean gain of its features (0 without features). Adding Gum
 sha256("<seed>:<doc_id>") and taking the highest scores draws without replacement in proportion to
 exp(weight / 1000) (Gumbel top-k).
 
-Inside a task each Arrow batch interns its n-grams in an open-addressed table kept in NumPy arrays:
-keys are XXH64 of the bytes, probing is linear and vectorised over all occurrences at once, and an
-equal key is accepted only after the bytes themselves compare equal. Each distinct n-gram of the batch
-gets one slot holding its bucket (one crc32 per distinct n-gram) and its count; every occurrence
-carries its slot id, so counting is one ``bincount`` and scoring one gather of the gains.
+Inside a task each Arrow batch interns its n-grams in open-addressed tables kept in NumPy arrays:
+probing is linear and vectorised over all occurrences at once. Words are keyed by XXH64 of their
+UTF-8 bytes, and an equal key is accepted only after the bytes themselves compare equal; a pair of
+neighbouring words is keyed by the pair of its two word slots, which is the pair itself. Each
+distinct n-gram of the batch gets one slot holding its bucket (one crc32 per distinct n-gram); every
+occurrence carries its slot id, so counting is one ``bincount`` and scoring one gather of the gains.
 
 Spark does the rest: bucket counts are summed by a pre-aggregated ``groupBy`` (at most ``buckets``
 keys), the gains (``buckets`` numbers) travel to the tasks of the second pass, and the draw ranks by a
@@ -40,6 +41,9 @@ from pagemill.session import checkpointed
 # fixed values of the contract: what a word is, the lower-casing, the noise seed prefix
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+# The same words found in UTF-8: ASCII characters are single bytes, all others bytes of 0x80 and up.
+WORD_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
+LOWER_BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -54,80 +58,138 @@ def features(words: list[str], order: int) -> list[bytes]:
 
 
 class Interned:
-    """An open-addressed table of byte strings: XXH64 keys, linear probing, byte verification."""
+    """An open-addressed table in NumPy arrays: 64-bit keys, linear probing, and for byte strings a check
+    of the bytes themselves before a key is taken as a match.
+
+    Slot ids are handed out in order of first arrival; ``bucket`` holds each slot's bucket.
+    """
 
     def __init__(self, expected: int, buckets: int):
         self.size = 1 << max(4, (2 * max(1, expected) - 1).bit_length())
-        self.mask = np.uint64(self.size - 1)
+        self.mask = self.size - 1
         self.keys = np.zeros(self.size, np.uint64)
         self.slot_at = np.full(self.size, -1, np.int64)  # position -> slot id
-        self.texts: list[bytes] = []  # slot id -> the bytes it stands for
+        self.n = 0
         self.buckets = buckets
         self.bucket = np.zeros(0, np.int64)  # slot id -> bucket
 
-    def intern(self, grams: list[bytes]) -> np.ndarray:
-        """Slot id of every occurrence."""
-        n = len(grams)
-        h = np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64, n)
-        pos = (h & self.mask).astype(np.int64)
-        slot = np.full(n, -1, np.int64)
-        todo = np.arange(n)
+    def _probe(self, keys: np.ndarray, same_item, add_slots) -> np.ndarray:
+        """Slot of every key; ``same_item(occurrences, slots)`` verifies equal keys, ``add_slots(owners)``
+        makes the buckets of new slots."""
+        pos = (mix(keys) & np.uint64(self.mask)).astype(np.int64)
+        slot = np.full(keys.size, -1, np.int64)
+        todo = np.arange(keys.size)
         while todo.size:
             p = pos[todo]
             free = self.slot_at[p] < 0
             if free.any():
                 places, first = np.unique(p[free], return_index=True)
                 owners = todo[free][first]
-                ids = np.arange(len(self.texts), len(self.texts) + owners.size)
-                self.slot_at[places] = ids
-                self.keys[places] = h[owners]
-                new = [grams[i] for i in owners]
-                self.texts += new
-                self.bucket = np.concatenate(
-                    [self.bucket, np.fromiter((zlib.crc32(g) % self.buckets for g in new), np.int64, len(new))])
+                self.slot_at[places] = np.arange(self.n, self.n + owners.size)
+                self.keys[places] = keys[owners]
+                self.n += owners.size
+                self.bucket = np.concatenate([self.bucket, add_slots(owners)])
             sid = self.slot_at[p]
-            same = self.keys[p] == h[todo]
-            near = np.flatnonzero(same)
-            equal = np.fromiter((grams[todo[i]] == self.texts[sid[i]] for i in near), bool, near.size)
-            hit = near[equal]
+            near = np.flatnonzero(self.keys[p] == keys[todo])
+            hit = near[same_item(todo[near], sid[near])]
             slot[todo[hit]] = sid[hit]
             miss = np.ones(todo.size, bool)
             miss[hit] = False
             todo = todo[miss]
-            pos[todo] = (pos[todo] + 1) & int(self.mask)
+            pos[todo] = (pos[todo] + 1) & self.mask
         return slot
 
+    def intern(self, grams: list[bytes]) -> np.ndarray:
+        """Slot id of every byte string: XXH64 keys, bytes compared on equal keys."""
+        keys = np.array(list(map(xxhash.xxh64_intdigest, grams)), np.uint64)
+        if not hasattr(self, "texts"):
+            self.texts: list[bytes] = []
+            self.crc: list[int] = []  # slot id -> crc32 of its bytes
+
+        def same(occ, sid):
+            return np.array([grams[o] == self.texts[s] for o, s in zip(occ.tolist(), sid.tolist())], bool)
+
+        def add(owners):
+            new = [grams[i] for i in owners.tolist()]
+            self.texts += new
+            crc = [zlib.crc32(g) for g in new]
+            self.crc += crc
+            return np.array(crc, np.int64) % self.buckets
+
+        return self._probe(keys, same, add)
+
+    def intern_pairs(self, first: np.ndarray, second: np.ndarray, words: "Interned") -> np.ndarray:
+        """Slot id of every pair of slots of the table ``words``; the pair is the item itself, so equal
+        keys are equal items. A new pair's crc32 is the running crc32 of "first second", carried on from
+        the first word's crc32, so its bytes are never put together."""
+        keys = (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
+        spaced = [zlib.crc32(b" ", c) for c in words.crc]
+        texts = words.texts
+
+        def add(owners):
+            return np.array([zlib.crc32(texts[b], spaced[a])
+                             for a, b in zip(first[owners].tolist(), second[owners].tolist())], np.int64) % self.buckets
 
-CHUNK = 1 << 20  # features interned in one table: bounds a task's memory whatever the batch holds
+        return self._probe(keys, lambda occ, sid: np.ones(occ.size, bool), add)
 
 
-def _chunks(texts, order: int):
-    """Runs of consecutive texts with about CHUNK features: word counts, feature counts, all features."""
-    n_words, n_feats, grams = [], [], []
+def mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        return x ^ (x >> np.uint64(33))
+
+
+CHUNK = 1 << 20  # words interned in one table: bounds a task's memory whatever the batch holds
+
+
+def _chunks(texts):
+    """Runs of consecutive texts with about CHUNK words: words of each text (UTF-8), in order."""
+    run, n = [], 0
     for t in texts:
-        w = words_of(t)
-        f = features(w, order)
-        n_words.append(len(w))
-        n_feats.append(len(f))
-        grams += f
-        if len(grams) >= CHUNK:
-            yield n_words, n_feats, grams
-            n_words, n_feats, grams = [], [], []
-    if n_words:
-        yield n_words, n_feats, grams
+        w = WORD_BYTES.findall((t or "").encode().translate(LOWER_BYTES))
+        run.append(w)
+        n += len(w)
+        if n >= CHUNK:
+            yield run
+            run, n = [], 0
+    if run:
+        yield run
+
+
+def _features(run: list[list[bytes]], buckets: int):
+    """Per text of the run: word count; per feature occurrence: its text's place and its bucket.
+
+    Words are interned by their bytes; a pair of neighbouring words by the pair of their word slots.
+    """
+    counts = np.array([len(w) for w in run], np.int64)
+    words = [x for w in run for x in w]
+    place = np.repeat(np.arange(len(run)), counts)
+    if not words:
+        return counts, place, np.zeros(0, np.int64)
+    table = Interned(len(words), buckets)
+    slots = table.intern(words)
+    same_text = np.flatnonzero(place[1:] == place[:-1])
+    if same_text.size:
+        pairs = Interned(same_text.size, buckets)
+        two = pairs.intern_pairs(slots[same_text], slots[same_text + 1], table)
+        place = np.concatenate([place, place[same_text]])
+        bucket = np.concatenate([table.bucket[slots], pairs.bucket[two]])
+    else:
+        bucket = table.bucket[slots]
+    return counts, place, bucket
 
 
 def bucket_counts(texts: DataFrame, order: int, buckets: int) -> DataFrame:
     """bucket, count of feature occurrences over all rows of ``texts`` (a ``text`` column)."""
+    if order != 2:
+        raise ValueError("features are runs of one and two words")
     schema = pa.schema([("bucket", pa.int64()), ("count", pa.int64())])
 
     def per_batch(text):
         counts = np.zeros(buckets, np.int64)
-        for _, _, grams in _chunks(text, order):
-            if grams:
-                table = Interned(len(grams), buckets)
-                slot = table.intern(grams)
-                counts += np.bincount(table.bucket[slot], minlength=buckets)
+        for run in _chunks(text):
+            _, _, bucket = _features(run, buckets)
+            counts += np.bincount(bucket, minlength=buckets)
         at = np.flatnonzero(counts)
         return at.tolist(), counts[at].tolist()
 
@@ -151,16 +213,14 @@ def weighted(docs: DataFrame, gain: np.ndarray, order: int) -> DataFrame:
 
     def per_batch(doc_id, text):
         all_words, all_feats, weight = [], [], []
-        for n_words, n_feats, grams in _chunks(text, order):
-            all_words += n_words
-            all_feats += n_feats
-            sums = np.zeros(1, np.int64)
-            if grams:
-                table = Interned(len(grams), buckets)
-                slot = table.intern(grams)
-                sums = np.concatenate([sums, np.cumsum(gain[table.bucket[slot]])])
-            ends = np.cumsum(n_feats)
-            weight += [int((int(sums[e]) - int(sums[e - n])) // n) if n else 0 for e, n in zip(ends, n_feats)]
+        for run in _chunks(text):
+            counts, place, bucket = _features(run, buckets)
+            n_feats = counts + np.maximum(counts - 1, 0)
+            sums = np.zeros(len(run), np.int64)
+            np.add.at(sums, place, gain[bucket])
+            all_words += counts.tolist()
+            all_feats += n_feats.tolist()
+            weight += [int(t // n) if n else 0 for t, n in zip(sums.tolist(), n_feats.tolist())]
         return doc_id, all_words, all_feats, weight
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
