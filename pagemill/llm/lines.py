@@ -31,7 +31,8 @@ LAST = (1 << 63) - 1  # stands for a null id: after all others
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, r"[ \t\x0B\f\r]+"), lambda w: w != "")
+    """Words of a line that is not blank: freed of blanks at its ends, it is cut into words alone."""
+    return F.split(F.btrim(line, F.lit(" \t\x0B\f\r")), r"[ \t\x0B\f\r]+")
 
 
 def _place_hashes(words: Column, back: int = 0) -> Column:
@@ -53,7 +54,7 @@ def _half_keys(words: Column, n: Column, min_words: int) -> Column:
     """Hashes of the halves that a partner of any length from n - 1 to n + 1 may share, with their lengths."""
     def key(kind: str, size: Column):
         run = F.slice(words, F.lit(1), size) if kind == "first" else F.slice(words, n - size + 1, size)
-        return F.xxhash64(F.lit(kind), size, F.concat_ws(" ", run))
+        return F.xxhash64(F.lit(kind), size, run)
 
     def half(x: Column):
         return F.floor(x / 2).cast("int")
