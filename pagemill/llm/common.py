@@ -9,6 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+_FILLED: dict[str, object] = {}  # the operator whose caches this worker process holds
+
+
+def sole_cache(owner: str, clear) -> None:
+    """Empty the caches of whichever other operator ran in this worker process before.
+
+    Spark reuses its workers for all jobs of an application: what one stage has kept would else stay beside the next.
+    """
+    for other in [x for x in _FILLED if x != owner]:
+        _FILLED.pop(other)()
+    _FILLED[owner] = clear
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pagemill.llm.common import arrow_rows, doc_texts, filtered
+from pagemill.llm.common import arrow_rows, doc_texts, filtered, sole_cache
 
 FEATURES = 1 << 16
 KEPT_WORDS = 300_000
@@ -60,6 +60,11 @@ class Crf:
     cache: dict[str, int] = field(default_factory=dict, repr=False)
     table: np.ndarray | None = field(default=None, repr=False)
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.table = None
+        _HASHES.clear()
+
     def features(self, word: str) -> list[int]:
         """Affixes up to four letters, 2- and 3-grams of the marked word, and the lexicon's entry."""
         marked = f"<{word[:40]}>" if len(word) <= 40 else f"<{word[:20]}{word[-20:]}>"
@@ -147,6 +152,7 @@ class Crf:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, score) of each text; ("und", 0.0) for one without a letter."""
+        sole_cache(f"language {id(self)}", self.forget)
         found = [words_of(t or "") for t in texts]
         answer = [(UNDETERMINED, 0.0)] * len(texts)
         full = [i for i, w in enumerate(found) if w]

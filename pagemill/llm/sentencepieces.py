@@ -25,7 +25,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from pagemill.llm.common import arrow_rows, doc_texts, sha256_hex
+from pagemill.llm.common import arrow_rows, doc_texts, sha256_hex, sole_cache
 
 SPACE = "▁"
 KEPT_WORDS = 400_000
@@ -167,6 +167,7 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 
 def encoder(model_file: str) -> PieceEncoder:
     """One per worker process."""
+    sole_cache("sentencepieces", _ENCODERS.clear)
     if model_file not in _ENCODERS:
         _ENCODERS[model_file] = PieceEncoder(model_file)
     return _ENCODERS[model_file]
