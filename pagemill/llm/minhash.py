@@ -62,6 +62,7 @@ PI_MUL = np.uint64(0xD6E8FEB86659FD93)  # odd: a bijection of the 64-bit words
 PI_MUL_2 = np.uint64(0xC4CEB9FE1A85EC53)
 PARITY_BITS = 1024
 BLOCK = 1000  # members of a bucket compared with as many at once
+FEW = 200_000  # so many wanted texts are found by a broadcast of their ids; for more, the texts are shuffled
 CHUNK = 2048  # shingles scrambled at once: bounds the n x K block of one long text
 
 
@@ -139,8 +140,11 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     pairs = (pairs.join(sizes.toDF("a", "na", "pa"), "a").join(sizes.toDF("b", "nb", "pb"), "b")
              .where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
              .where((den + num) * bits <= (den - num) * (F.col("na") + F.col("nb"))).select("a", "b"))
+    pairs = checkpointed(pairs)
     wanted = (pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
               .join(classes.select("cls", "rep_id", "rep_th"), "cls"))
+    wanted = checkpointed(wanted)
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
     source = docs.select(F.col("doc_id").cast("long").alias("sid"), F.col("text").cast("string"))
     source = source.withColumn("sth", F.xxhash64("text"))
     texts = (source.join(wanted, F.col("sid").eqNullSafe(F.col("rep_id")) & (F.col("sth") == F.col("rep_th")))
@@ -203,7 +207,8 @@ def unsettled(shared: DataFrame, labels: DataFrame, classes: DataFrame, num: int
     dealt = (placed.join(split, ["band", "key"])
              .withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .join(classes.select("cls", "n", "bands", "parity"), "cls"))
+             .join(classes.select("cls", "n", (F.array().cast("array<long>") if trees else F.col("bands")).alias("bands"),
+                                  "parity"), "cls"))
     groups = (dealt.groupBy("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
               .agg(F.collect_list(F.struct("cls", "n", "part", "block", "bands", "parity")).alias("rows"))
               .select("band", "i", "j", "rows"))
