@@ -12,8 +12,9 @@ Inside a task each Arrow batch interns its n-grams in open-addressed tables kept
 probing is linear and vectorised over all occurrences at once. Words are keyed by XXH64 of their
 UTF-8 bytes, and an equal key is accepted only after the bytes themselves compare equal; a pair of
 neighbouring words is keyed by the pair of its two word slots, which is the pair itself. Each
-distinct n-gram of the batch gets one slot holding its bucket (one crc32 per distinct n-gram); every
-occurrence carries its slot id, so counting is one ``bincount`` and scoring one gather of the gains.
+distinct n-gram of the batch gets one slot holding its bucket; every occurrence carries its slot id, so
+counting is one ``bincount`` and scoring one gather of the gains. A distinct word costs one crc32; crc32
+being linear, that of a pair is put together from those of its words, for all new pairs of a round at once.
 
 Spark does the rest: bucket counts are summed by a pre-aggregated ``groupBy`` (at most ``buckets``
 keys), the gains (``buckets`` numbers) travel to the tasks of the second pass, and the draw ranks by a
@@ -41,9 +42,10 @@ from pagemill.session import checkpointed
 # fixed values of the contract: what a word is, the lower-casing, the noise seed prefix
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-# The same words found in UTF-8: ASCII characters are single bytes, all others bytes of 0x80 and up.
-WORD_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
-LOWER_BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+# The same words found in UTF-8, where ASCII characters are single bytes, all others bytes of 0x80 and up:
+# this maps letters to lower case and what is in no word to a blank.
+_ASCII = bytes(range(128)).decode().translate(LOWER)
+WORD_BYTES = "".join(c if WORD.match(c) else " " for c in _ASCII).encode() + bytes(range(128, 256))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -83,8 +85,10 @@ class Interned:
             p = pos[todo]
             free = self.slot_at[p] < 0
             if free.any():
-                places, first = np.unique(p[free], return_index=True)
-                owners = todo[free][first]
+                places, owners = p[free], todo[free]
+                self.slot_at[places] = owners  # one occurrence wins each place; it owns the new slot
+                won = self.slot_at[places] == owners
+                places, owners = places[won], owners[won]
                 self.slot_at[places] = np.arange(self.n, self.n + owners.size)
                 self.keys[places] = keys[owners]
                 self.n += owners.size
@@ -101,38 +105,61 @@ class Interned:
 
     def intern(self, grams: list[bytes]) -> np.ndarray:
         """Slot id of every byte string: XXH64 keys, bytes compared on equal keys."""
-        keys = np.array(list(map(xxhash.xxh64_intdigest, grams)), np.uint64)
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams))
+        items = np.fromiter(grams, object, len(grams))
         if not hasattr(self, "texts"):
-            self.texts: list[bytes] = []
-            self.crc: list[int] = []  # slot id -> crc32 of its bytes
+            self.texts = np.zeros(0, object)  # slot id -> bytes
+            self.crc = np.zeros(0, np.uint32)  # slot id -> crc32 of its bytes
+            self.length = np.zeros(0, np.int64)
 
         def same(occ, sid):
-            return np.array([grams[o] == self.texts[s] for o, s in zip(occ.tolist(), sid.tolist())], bool)
+            return items[occ] == self.texts[sid]
 
         def add(owners):
-            new = [grams[i] for i in owners.tolist()]
-            self.texts += new
-            crc = [zlib.crc32(g) for g in new]
-            self.crc += crc
-            return np.array(crc, np.int64) % self.buckets
+            new = items[owners]
+            crc = np.fromiter(map(zlib.crc32, new), np.uint32, new.size)
+            self.texts = np.concatenate([self.texts, new])
+            self.crc = np.concatenate([self.crc, crc])
+            self.length = np.concatenate([self.length, np.fromiter(map(len, new), np.int64, new.size)])
+            return crc.astype(np.int64) % self.buckets
 
         return self._probe(keys, same, add)
 
     def intern_pairs(self, first: np.ndarray, second: np.ndarray, words: "Interned") -> np.ndarray:
         """Slot id of every pair of slots of the table ``words``; the pair is the item itself, so equal
-        keys are equal items. A new pair's crc32 is the running crc32 of "first second", carried on from
-        the first word's crc32, so its bytes are never put together."""
+        keys are equal items. A new pair's crc32 is that of "first second", from the crc32 of both words
+        and the length of the second, so its bytes are never put together."""
         keys = (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
-        spaced = [zlib.crc32(b" ", c) for c in words.crc]
-        texts = words.texts
+        spaced = joined_crc(words.crc, np.uint32(zlib.crc32(b" ")), np.ones(words.n, np.int64))
 
         def add(owners):
-            return np.array([zlib.crc32(texts[b], spaced[a])
-                             for a, b in zip(first[owners].tolist(), second[owners].tolist())], np.int64) % self.buckets
+            a, b = first[owners], second[owners]
+            return joined_crc(spaced[a], words.crc[b], words.length[b]).astype(np.int64) % self.buckets
 
         return self._probe(keys, lambda occ, sid: np.ones(occ.size, bool), add)
 
 
+def _zeros_after(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    """The linear map of ``table`` (its value for every value of each of the four bytes) applied to ``crc``."""
+    return table[0][crc & 255] ^ table[1][crc >> 8 & 255] ^ table[2][crc >> 16 & 255] ^ table[3][crc >> 24]
+
+
+# ZEROS[k] carries the remainder of a crc32 over 2**k zero bytes.
+ZEROS = [np.array([[~zlib.crc32(b"\0", ~(v << 8 * i) & 0xFFFFFFFF) & 0xFFFFFFFF for v in range(256)] for i in range(4)],
+                  np.uint32)]
+while len(ZEROS) < 40:
+    ZEROS.append(_zeros_after(ZEROS[-1], ZEROS[-1]))
+
+
+def joined_crc(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """crc32 of two byte strings put together, from the crc32 of each and the length of the second."""
+    out = first.copy()
+    for k in range(int(length.max(initial=0)).bit_length()):
+        at = np.flatnonzero(length >> k & 1)
+        out[at] = _zeros_after(ZEROS[k], out[at])
+    return out ^ second
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -146,7 +173,7 @@ def _chunks(texts):
     """Runs of consecutive texts with about CHUNK words: words of each text (UTF-8), in order."""
     run, n = [], 0
     for t in texts:
-        w = WORD_BYTES.findall((t or "").encode().translate(LOWER_BYTES))
+        w = (t or "").encode().translate(WORD_BYTES).split()
         run.append(w)
         n += len(w)
         if n >= CHUNK:

@@ -80,3 +80,34 @@ def test_interning_verifies_bytes():
     table.keys[:] = 0  # every stored key now differs: occurrences must probe on, never merge
     again = table.intern([b"a"])
     assert table.texts[again[0]] == b"a"
+
+
+def test_pairs_are_not_hashed_one_by_one(monkeypatch):
+    words = [b"w%d" % i for i in range(50)]
+    run = [[a, b] for a in words for b in words]  # 2500 distinct pairs of 50 words
+    calls = []
+    plain_crc = zlib.crc32
+    monkeypatch.setattr(resample.zlib, "crc32", lambda *a: calls.append(a) or plain_crc(*a))
+    counts, place, bucket = resample._features(run, 10000)
+    assert len(calls) <= 51
+    assert counts.tolist() == [2] * 2500
+    assert bucket[5000:].tolist() == [plain_crc(a + b" " + b) % 10000 for a, b in run]
+
+
+def test_crc_of_pairs_of_any_length():
+    rnd = random.Random(3)
+    words = [bytes(rnd.choices(b"az09\x80\xff", k=n)) for n in [*range(1, 70), 255, 256, 257, 4096, 70001]]
+    rnd.shuffle(words)
+    run = [words, words[::-1], words[:1], []]
+    counts, place, bucket = resample._features(run, 1 << 32)
+    want = [(i, w) for i, t in enumerate(run) for w in t]
+    want += [(i, a + b" " + b) for i, t in enumerate(run) for a, b in zip(t, t[1:])]
+    assert counts.tolist() == [74, 74, 1, 0]
+    assert list(zip(place.tolist(), bucket.tolist())) == [(i, zlib.crc32(f)) for i, f in want]
+
+
+def test_words_of_every_character():
+    chars = [*map(chr, range(0xD800)), "\ue000", "\uffff", "\U0001f600"]
+    texts = ["".join(f"A{c}z" for c in chars), None, "".join(chars)]
+    cut = [w for run in resample._chunks(texts) for w in run]
+    assert [[x.decode() for x in w] for w in cut] == [resample.words_of(t) for t in texts]
